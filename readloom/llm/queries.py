@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from readloom.llm import neardup
+from readloom.llm import distinct, heavy, neardup, seen
 from readloom.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,3 +28,45 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 @query
 def p1_groups(spark: SparkSession, d: str) -> DataFrame:
     return neardup.p1_groups(table(spark, d, "sam_records"))
+
+
+@query
+def p2_distinct_counts(spark: SparkSession, d: str) -> DataFrame:
+    return distinct.distinct_counts(table(spark, d, "seq_reads"), table(spark, d, "manifest_files"))
+
+
+@query
+def p5_found(spark: SparkSession, d: str) -> DataFrame:
+    return seen.p5_found(table(spark, d, "read_arrivals"))
+
+
+@query
+def p5_error_rates(spark: SparkSession, d: str) -> DataFrame:
+    return seen.error_report(table(spark, d, "read_arrivals"))
+
+
+@query
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return heavy.p6_found(table(spark, d, "seq_reads"))
+
+
+@query
+def p6_counts(spark: SparkSession, d: str) -> DataFrame:
+    return heavy.frequent(table(spark, d, "seq_reads"))
+
+
+_ARRIVAL_KEYS = r"""
+with t as (select arrival_no, trim(name, chr(32) || chr(9) || chr(13) || chr(10) || chr(160)) as n from read_arrivals),
+k as (select arrival_no, case when n like '@%' then substr(n, 2) else n end as key from t)
+"""
+ORACLE["p5_found"] = _ARRIVAL_KEYS + """
+select arrival_no from (select arrival_no, min(arrival_no) over (partition by key) as first from k where length(trim(key)) > 0)
+where arrival_no > first
+"""
+_VALUES = """
+with v as (select distinct read_id, replace(upper(trim(bases, chr(32) || chr(9) || chr(13) || chr(10))), 'U', 'T') as bases from seq_reads),
+t as (select count(distinct read_id) as n from v)
+"""
+ORACLE["p6_found"] = _VALUES + """
+select bases from v where bases not in ('', '*') group by bases having count(distinct read_id) >= 0.005 * (select n from t)
+"""
