@@ -57,14 +57,16 @@ def kmer_codes(joined: np.ndarray, k: int) -> np.ndarray:
     return (code ^ (code >> np.uint64(32))).view(np.int64)
 
 
+#: Texts whose tokens are made at a time, which bounds a worker's memory.
+SLICE = 1000
+
+
 def _explode(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(i, SLICE) for b in batches for i in range(0, b.num_rows, SLICE)):
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             texts = [t.encode() for t in batch.column(1).to_pylist()]
             sizes = np.array([len(t) for t in texts], np.int64)
-            if not len(sizes):
-                continue
             codes = kmer_codes(np.frombuffer(b"".join(texts), np.uint8), k)
             starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
             n = sizes - k + 1
@@ -84,13 +86,14 @@ def _mix(tokens: np.ndarray, seed: int) -> np.ndarray:
 def _prefixes(k: int, threshold: float, hot: int, hot_only: bool):
     """Per text: which of its tokens lie in a prefix, as bits, and how many of them a partner must share."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (b.slice(i, SLICE) for b in batches for i in range(0, b.num_rows, SLICE)):
             out: list[tuple] = []
-            for ident, size, items in zip(pdf["id"], pdf["size"], pdf["items"]):
-                token = np.fromiter((x["token"] for x in items), np.int64, len(items))
-                place = np.fromiter((x["place"] for x in items), np.int64, len(items))
-                df = np.fromiter((x["df"] for x in items), np.int64, len(items))
+            ids, sizes = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            ends = np.concatenate([[0], np.cumsum(batch.column(2).value_lengths().to_numpy())])
+            tokens, places, dfs = (c.to_numpy() for c in batch.column(2).flatten().flatten())
+            for ident, size, lo, hi in zip(ids, sizes, ends, ends[1:]):
+                token, place, df = tokens[lo:hi], places[lo:hi].astype(np.int64), dfs[lo:hi]
                 need = threshold * size - 1e-9
                 is_hot = df > hot
                 at = np.sort(place[is_hot])
@@ -118,7 +121,7 @@ def _prefixes(k: int, threshold: float, hot: int, hot_only: bool):
                 need_seen = max(1, o - int((~kept).sum()))
                 out.append((np.full(int(kept.sum()), ident), token[kept], bits[kept], np.full(int(kept.sum()), need_seen, np.int32)))
             cols = [np.concatenate([o[i] for o in out]) if out else np.zeros(0, t) for i, t in enumerate((np.int64, np.int64, np.int32, np.int32))]
-            yield pd.DataFrame(dict(zip(("id", "token", "bits", "need"), cols)))
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["id", "token", "bits", "need"])
 
     return run
 
@@ -142,7 +145,7 @@ def alike_texts(texts: DataFrame, k: int = K, threshold: float = THRESHOLD, hot:
     shared = materialise(shared, "p1-tokens")
     pairs = None
     for hot_only in (False, True):
-        index = shared.mapInPandas(_prefixes(k, threshold, hot, hot_only), "id bigint, token bigint, bits int, need int")
+        index = shared.mapInArrow(_prefixes(k, threshold, hot, hot_only), "id bigint, token bigint, bits int, need int")
         a = index.select("token", F.col("id").alias("a"), F.col("bits").alias("bits_a"), F.col("need").alias("need_a"))
         b = index.select("token", F.col("id").alias("b"), F.col("bits").alias("bits_b"), F.col("need").alias("need_b"))
         both = a.join(b, "token").where("a < b").groupBy("a", "b").agg(

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from readloom.llm import distinct, heavy, neardup, seen
+from readloom.llm import distinct, heavy, leaks, neardup, seen
 from readloom.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -70,3 +70,19 @@ t as (select count(distinct read_id) as n from v)
 ORACLE["p6_found"] = _VALUES + """
 select bases from v where bases not in ('', '*') group by bases having count(distinct read_id) >= 0.005 * (select n from t)
 """
+
+
+@query
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.p7_found(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+@query
+def p7_matches(spark: SparkSession, d: str) -> DataFrame:
+    """Every matching run with its place and length."""
+    return leaks.phrase_matches(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+@query
+def p7_proximity(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.proximity_matches(table(spark, d, "documents"), table(spark, d, "eval_items"))
