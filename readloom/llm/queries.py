@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from readloom.llm import distinct, heavy, leaks, neardup, seen
+from readloom.llm import distinct, heavy, leaks, neardup, reading, seen
 from readloom.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -86,3 +86,14 @@ def p7_matches(spark: SparkSession, d: str) -> DataFrame:
 @query
 def p7_proximity(spark: SparkSession, d: str) -> DataFrame:
     return leaks.proximity_matches(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+@query
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return reading.p9_found(table(spark, d, "documents"), table(spark, d, "level_labels"))
+
+
+@query
+def p9_levels(spark: SparkSession, d: str) -> DataFrame:
+    """The level of every document."""
+    return reading.reading_levels(table(spark, d, "documents"), table(spark, d, "level_labels"))
