@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from readloom.llm import distinct, heavy, leaks, neardup, reading, seen
+from readloom.llm import distinct, heavy, leaks, mixing, neardup, reading, seen
 from readloom.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -97,3 +97,15 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
 def p9_levels(spark: SparkSession, d: str) -> DataFrame:
     """The level of every document."""
     return reading.reading_levels(table(spark, d, "documents"), table(spark, d, "level_labels"))
+
+
+@query
+def p8_selection(spark: SparkSession, d: str) -> DataFrame:
+    """The selected documents with their copies."""
+    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+
+@query
+def p8_shares(spark: SparkSession, d: str) -> DataFrame:
+    """The shares reached."""
+    return mixing.report(table(spark, d, "documents"), table(spark, d, "mix_targets"))
