@@ -109,3 +109,22 @@ def p8_selection(spark: SparkSession, d: str) -> DataFrame:
 def p8_shares(spark: SparkSession, d: str) -> DataFrame:
     """The shares reached."""
     return mixing.report(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+
+_CLEAN = r"""
+regexp_replace(regexp_replace(regexp_replace(regexp_replace({}, '[\x{200b}-\x{200f}\x{2060}-\x{2064}\x{feff}\x{180e}]', '', 'g'),
+ '<!--(?s:.*?)-->|</?[A-Za-z!?][^<>]*>', ' ', 'g'), '&(?:[A-Za-z][A-Za-z0-9]*|#[0-9]+|#[xX][0-9A-Fa-f]+);', ' ', 'g'), '([\pL\pN])[-\x{ad}\x{2010}\x{2011}][ \t\x{a0}]*(?:\r\n|[\n\r\x{2028}\x{85}])[ \t\x{a0}]*([\pL\pN])', '\1\2', 'g')
+"""
+
+
+def _words(column: str) -> str:
+    clean = _CLEAN.replace("{}", column, 1)
+    return f"list_filter(regexp_split_to_array(lower(replace({clean}, chr(173), '')), '[^\\pL\\pN]+'), lambda w: w <> '')"
+
+
+ORACLE["p7_found"] = f"""
+with d as (select doc_id, {_words('text')} as w from documents where doc_id is not null and length(text) > 0),
+i as (select item_id, {_words('passage')} as w from eval_items where item_id is not null and length(passage) > 0),
+iw as (select distinct item_id, array_to_string(w[k:k + 12], ' ') as g from (select item_id, w, unnest(range(1, len(w) - 11)) as k from i where len(w) >= 13)),
+dw as (select doc_id, array_to_string(w[k:k + 12], ' ') as g from (select doc_id, w, unnest(range(1, len(w) - 11)) as k from d where len(w) >= 13))
+select distinct doc_id, item_id from dw join iw using (g)
+"""
