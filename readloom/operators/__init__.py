@@ -1 +1 @@
-"""readloom.operators"""
+"""Operators: DataFrames in, DataFrames out."""

@@ -21,13 +21,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from readloom.session import stripped
+
 # Letters a base may have, and the longest name.
 BASE_PATTERN = "^[ACGTURYSWKMBDHVNacgturyswkmbdhvn.-]+$"
 MAX_NAME = 256
 _FIELD = r'(?:[^,"\n]*+|"(?:[^"]++|"")*+")'
 _TAG = r"^[A-Za-z][A-Za-z0-9]:[A-Za-z]:.*$"
 QUOTE_COST = 1_000_000
-BLANKS = " \t\r\n\x0b\x0c"
 
 
 def csv_edits(text: str, n_fields: int = 3) -> tuple[int, int, str]:
@@ -170,9 +171,9 @@ def split_rows(raw: DataFrame) -> DataFrame:
 
 def value_reason() -> Column:
     """The first failing check of a row whose structure fits; null where all hold."""
-    blank = lambda c: F.length(F.trim(F.col(c), F.lit(BLANKS))) == 0
+    blank = lambda c: F.length(stripped(F.col(c))) == 0
     return (
-        F.when(blank("name") | (F.length(F.trim(F.col("name"), F.lit(BLANKS))) > MAX_NAME), "name")
+        F.when(blank("name") | (F.length(stripped(F.col("name"))) > MAX_NAME), "name")
         .when(blank("bases") | ~F.col("bases").rlike(BASE_PATTERN.replace("^", r"\A").replace("$", r"\z")), "bases")
         .when(blank("quals") | ~F.col("quals").rlike(r"\A[!-~]+\z"), "quals")
         .when(F.col("numbers").isNotNull() & F.exists("numbers", lambda x: ~x.rlike(r"\A[-+]?[0-9]+\z")), "number")
@@ -183,7 +184,7 @@ def value_reason() -> Column:
 def error_parse(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``(loaded, failed)``: valid rows as ``(raw_id, name, bases, quals)``; the others as ``(raw_id, reason, quote_edits, delimiter_edits, operations)``."""
     rows = split_rows(raw).withColumn("reason", F.when(F.col("fits"), value_reason()))
-    loaded = rows.where(F.col("fits") & F.col("reason").isNull()).select("raw_id", F.trim(F.col("name"), F.lit(BLANKS)).alias("name"), "bases", "quals").dropDuplicates(["raw_id"])
+    loaded = rows.where(F.col("fits") & F.col("reason").isNull()).select("raw_id", stripped(F.col("name")).alias("name"), "bases", "quals").dropDuplicates(["raw_id"])
     broken = rows.where(~F.col("fits")).select("raw_id", "kind", "body").mapInPandas(_repair, "raw_id bigint, quote_edits bigint, delimiter_edits bigint, operations string")
     broken = broken.select("raw_id", F.when(F.col("quote_edits") > 0, "quoting").otherwise("columns").alias("reason"), "quote_edits", "delimiter_edits", "operations")
     values = rows.where(F.col("reason").isNotNull()).select("raw_id", "reason", F.lit(0).cast("bigint").alias("quote_edits"), F.lit(0).cast("bigint").alias("delimiter_edits"), F.lit("").alias("operations"))

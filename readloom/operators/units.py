@@ -22,6 +22,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from readloom.session import stripped
+
 # Vocabulary of unit words and what each says.
 VOCABULARY = {
     "phred": "PHRED", "sanger": "PHRED33", "standard": "PHRED33", "illumina": "PHRED",
@@ -104,7 +106,7 @@ def _squeeze(column: Column) -> Column:
 
 def parse_quality(reads: DataFrame) -> DataFrame:
     """Add ``q`` (trimmed text), ``is_list``, ``words`` (unit words), ``items`` (numbers as text)."""
-    q = F.trim(F.col("raw_quals"), F.lit(" \t\r\n"))
+    q = stripped(F.col("raw_quals"))
     kept = reads.withColumn("q", q).where((F.length("q") > 0) & (F.col("q") != "*"))
     body = F.regexp_replace("q", _WORDS, "")
     # whether it can be a list at all is a cheap test; only those rows are split
@@ -113,7 +115,7 @@ def parse_quality(reads: DataFrame) -> DataFrame:
     whole = F.forall(items, lambda x: x.rlike("^" + _NUMBER + "$"))
     has_words = F.regexp_extract("q", _WORDS, 1)
     # a text of the length of the bases that could be both is text, unless it holds blanks
-    listed = maybe & whole & (has_words.rlike(r"\S") | F.col("q").rlike(r"\s") | ~F.length("q").eqNullSafe(F.length(F.trim(F.col("bases")))) ) & ((F.size(items) > 1) | has_words.rlike(r"\S") | (F.length(F.trim(F.col("bases"))) == 1))
+    listed = maybe & whole & (has_words.rlike(r"\S") | F.col("q").rlike(r"\s") | ~F.length("q").eqNullSafe(F.length(stripped(F.col("bases")))) ) & ((F.size(items) > 1) | has_words.rlike(r"\S") | (F.length(stripped(F.col("bases"))) == 1))
     return kept.withColumn("is_list", F.coalesce(listed, F.lit(False))).withColumn("words", F.when(F.col("is_list"), F.lower(has_words))).withColumn("items", F.when(F.col("is_list"), items))
 
 

@@ -10,6 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Fixed value: the characters that count as white space.
+WHITE = " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+def stripped(column):
+    """The text without surrounding white space."""
+    return F.trim(column, F.lit(WHITE))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The parquet table ``name`` of a data directory."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -33,9 +42,3 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_dir(spark)}/readloom-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def blank_to_null(column):
-    """Null for null, empty and white-space-only text, else the text without surrounding blanks."""
-    trimmed = F.trim(column, F.lit(" \t\r\n"))
-    return F.when(F.length(trimmed) > 0, trimmed)
