@@ -24,7 +24,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from readloom.session import materialise
+from readloom.session import materialise, stripped
 
 TARGET_ERROR = 0.01
 #: The reported combinations.
@@ -71,9 +71,8 @@ def estimates(parts: DataFrame, groups: list[str], m: int) -> DataFrame:
 
 def distinct_counts(reads: DataFrame, manifest: DataFrame, target: float = TARGET_ERROR, sets=SETS, m: int | None = None) -> DataFrame:
     """One row per group of every set: the estimated numbers of distinct names and bases with their standard errors."""
-    blanks = F.lit(" \t\r\n")
-    name = F.regexp_replace(F.trim(F.col("name"), blanks), "^@", "")
-    bases = F.translate(F.upper(F.trim(F.col("bases"), blanks)), "U", "T")
+    name = F.regexp_replace(stripped(F.col("name")), "^@", "")
+    bases = F.translate(F.upper(stripped(F.col("bases"))), "U", "T")
     some = lambda c: F.when((F.length(c) > 0) & (c != "*"), c)
     rows = reads.select(F.to_date("sequenced_at").alias("day"), "file_id", some(name).alias("name"), some(bases).alias("bases"))
     m = m or bitmap_bits(reads.count(), target)  # a count from the files' footers

@@ -26,14 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from readloom.session import materialise
+from readloom.session import materialise, stripped
 
 BUCKETS, CELLS, EVICT, SUPPORT = 4096, 1 << 16, 8, 0.005
 
 
 def normalised(column: str = "bases"):
     """The value compared; null where there is none."""
-    text = F.translate(F.upper(F.trim(F.col(column), F.lit(" \t\r\n"))), "U", "T")
+    text = F.translate(F.upper(stripped(F.col(column))), "U", "T")
     return F.when((F.length(text) > 0) & (text != "*"), text)
 
 

@@ -32,14 +32,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from readloom.session import materialise
+from readloom.session import materialise, stripped
 
 K, THRESHOLD, HOT, EXPAND = 16, 0.8, 256, 32
 
 
 def sequences(records: DataFrame, k: int = K) -> DataFrame:
     """``(id, text)``: normalised sequences of at least k letters, one row per id."""
-    text = F.translate(F.upper(F.trim(F.col("bases"), F.lit(" \t\r\n"))), "U", "T")
+    text = F.translate(F.upper(stripped(F.col("bases"))), "U", "T")
     rows = records.select(F.col("record_id").alias("id"), text.alias("text"))
     return rows.where((F.length("text") >= k) & F.col("id").isNotNull()).groupBy("id").agg(F.first("text").alias("text"))
 

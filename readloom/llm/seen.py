@@ -29,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from readloom.session import stripped
+
 BITS = 64
 #: Quotient bits of one filter beyond those that choose the range.
 QUOTIENT_BITS = 16
@@ -38,10 +40,9 @@ CHUNK = 1 << 20
 
 def key_of(column: str = "name") -> Column:
     """The key; null where there is none."""
-    blanks = F.lit(" \t\r\n\x0b\x0c  　")
-    trimmed = F.trim(F.col(column), blanks)
+    trimmed = stripped(F.col(column))
     bare = F.when(trimmed.startswith("@"), F.substring(trimmed, F.lit(2), F.length(trimmed))).otherwise(trimmed)
-    return F.when(F.length(F.trim(bare, blanks)) > 0, bare)
+    return F.when(F.length(stripped(bare)) > 0, bare)
 
 
 class QuotientFilter:
