@@ -11,7 +11,6 @@ row with ``error`` and ``line_no`` (``on_error=row``).
 
 from __future__ import annotations
 
-import io
 import re
 from collections.abc import Iterator
 
@@ -134,9 +133,8 @@ def _first_record(lines: list[bytes]) -> int | None:
 
 def range_lines(path: str, start: int, end: int) -> Iterator[str]:
     """Lines of the strict records that begin in a byte range of a plain file."""
-    with files.open_raw(path) as raw:
-        raw.seek(max(0, start - 1))
-        f = io.BufferedReader(raw, 1 << 20) if isinstance(raw, io.RawIOBase) else raw
+    with files.open_raw(path) as f:
+        f.seek(max(0, start - 1))
         at = max(0, start - 1)
         if start:
             at += len(f.readline())

@@ -37,7 +37,7 @@ def list_files(paths: list[str]) -> list[str]:
 
 def open_raw(path: str) -> BinaryIO:
     system, inner = filesystem(path)
-    return system.open_input_file(inner)
+    return io.BufferedReader(system.open_input_file(inner), 1 << 20)
 
 
 def size_of(path: str) -> int:
