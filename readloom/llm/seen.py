@@ -93,6 +93,15 @@ def first_of_each(fingerprints: np.ndarray, order: np.ndarray) -> np.ndarray:
     return mask if len(f) else np.zeros(0, bool)
 
 
+def once(fingerprints: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """Mask that keeps one row of each arrival."""
+    by = np.lexsort((fingerprints, order))
+    o, f = order[by], fingerprints[by]
+    mask = np.ones(len(f), bool)
+    mask[by[1:]] = (o[1:] != o[:-1]) | (f[1:] != f[:-1])
+    return mask
+
+
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
     held, n = [], 0
     for batch in batches:
@@ -108,6 +117,8 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
 def _answer_locally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for t in _chunks(batches):
         place, h = t["arrival_no"].to_numpy(), t["h"].to_numpy()
+        kept = once(h, place)
+        place, h = place[kept], h[kept]
         open_ = first_of_each(h, place)
         yield pa.RecordBatch.from_arrays([pa.array(place), pa.array(h), pa.array(open_)], names=["arrival_no", "h", "open"])
 
@@ -117,10 +128,14 @@ def _filter(bits: int, quotient_bits: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         levels: list[QuotientFilter] = []
+        last = None
         for t in _chunks(batches):
             place, h, open_ = t["arrival_no"].to_numpy(), t["h"].to_numpy(), t["open"].to_numpy(zero_copy_only=False)
             yield pa.RecordBatch.from_arrays([pa.array(place[~open_])], names=["arrival_no"])
-            place, f = place[open_], h[open_].view(np.uint64) >> np.uint64(64 - bits)
+            place, h = place[open_], h[open_]
+            kept = once(h, place) & (True if last is None else place != last)  # rows come by arrival_no
+            last = place[-1] if len(place) else last
+            place, f = place[kept], h[kept].view(np.uint64) >> np.uint64(64 - bits)
             first = first_of_each(f, place)
             known = ~first
             for q in levels:
