@@ -24,6 +24,11 @@ def slice_strict(bases: Column, start: Column, span: Column, region_start: Colum
     return F.when(inside, F.substring(bases, at.cast("int"), span.cast("int"))).otherwise(F.raise_error(F.lit("outside of the region")).cast("string"))
 
 
+def slice_zero_based(bases: Column, start: Column, stop: Column) -> Column:
+    """Bases at the array places start to stop, both counted from 0 and inclusive; cut at the end."""
+    return slice_clipped(bases, start + 1, stop - start + 1)
+
+
 def base_at(bases: Column, position: Column, region_start: Column | int = 1) -> Column:
     return slice_strict(bases, position, F.lit(1), region_start)
 

@@ -40,15 +40,15 @@ def primary_reads(records: DataFrame, reverse: bool = True) -> DataFrame:
     return rows.withColumn("_b", bases).withColumn("quals", quals).drop("bases").withColumnRenamed("_b", "bases").withColumn("segment_index", S.segment_index(F.col("flags")))
 
 
-def sam_to_fastq(records: DataFrame, prefix: str | None = None, reverse: bool = True, split: bool = True) -> DataFrame:
+def sam_to_fastq(records: DataFrame, prefix: str | None = None, reverse: bool = True, split: bool = True, max_records: int | None = None) -> DataFrame:
     """``(record_no, segment_index, name, bases, quals)`` of the output reads.
 
     With ``split`` records of equal name are paired; the first and second of a pair go to the outputs 1 and 2 with
     ``/1`` and ``/2`` after their names, the others to the output 0.  With a ``prefix``, names become
     ``prefix.counter name``: pairs are counted where their second record stands, single reads where they stand, and paired
-    reads left without a mate last, by name.
+    reads left without a mate last, by name.  ``max_records``: only the first so many records.
     """
-    rows = primary_reads(records, reverse)
+    rows = primary_reads(records if max_records is None else records.where(F.col("record_no") <= max_records), reverse)
     if not split:
         named = names.numbered(F.col("qname"), prefix, F.col("counter")) if prefix is not None else F.col("qname")
         rows = pairing.numbered(rows, ["record_no"]) if prefix is not None else rows

@@ -9,7 +9,7 @@ delimiters.  The operations of the cheapest parse state the reason: any quote am
 are edited only where nothing else gives a parse.
 
 Defined cases: null text and an unknown layout fail with ``columns``; an empty text has one empty
-field and fails likewise; rows delivered again count once; an empty table gives no rows; columns
+field and fails likewise; rows delivered again count once, rows without id not at all; an empty table gives no rows; columns
 besides those named are ignored.
 """
 
@@ -146,7 +146,7 @@ def split_rows(raw: DataFrame) -> DataFrame:
     # three line ends part four lines, of which the last may be empty; one more ends the last line
     four = (kind == "fastq") & (F.size(F.split("raw_text", "\r?\n", -1)) == 4)
     body = F.when(four, F.col("raw_text")).otherwise(F.regexp_replace("raw_text", r"\r?\n\z", ""))
-    df = raw.select("raw_id", kind.alias("kind"), body.alias("body"))
+    df = raw.where("raw_id is not null").select("raw_id", kind.alias("kind"), body.alias("body"))
     csv = rf"(?s)\A({_FIELD}),({_FIELD}),({_FIELD})\z"
     fq = F.split("body", "\r?\n")
     tabs = F.split("body", "\t")

@@ -11,7 +11,9 @@ left out; of reads that fill one slot twice the first by (file_no, read_no) is t
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from readloom.functions import names
@@ -51,6 +53,11 @@ def paired(assembled: DataFrame) -> DataFrame:
     return assembled.where("reverse is not null")
 
 
+def iterate(assembled: DataFrame, include_orphans: bool = False) -> Iterator[Row]:
+    """Pairs one by one on the driver, a partition at a time; orphans only if asked for."""
+    return (assembled if include_orphans else paired(assembled)).toLocalIterator()
+
+
 def orphans(assembled: DataFrame) -> DataFrame:
     return assembled.where("reverse is null")
 

@@ -28,6 +28,8 @@ _PRINTABLE = re.compile("[!-~]*")
 _NUMBERS = re.compile(r"-?[0-9]{1,3}(?: +-?[0-9]{1,3})*[ -]*")
 _CASAVA_LINE = re.compile("@" + CASAVA[1:])
 SPLIT_BYTES = 64 << 20
+#: Offsets of up to so many byte ranges (some 20 MB) are broadcast; more are joined by a shuffle.
+BROADCAST_RANGES = 500_000
 
 
 class FastqError(ValueError):
@@ -223,12 +225,14 @@ def read_fastq(spark: SparkSession, paths: str | list[str], **options) -> DataFr
     columns = ["file", "file_no", "read_no", "name", "bases", "plus", "raw_quals", "error", "line_no"]
     split = int(options.get("splitBytes", SPLIT_BYTES))
     lenient = options.get("mode") == "lenient"
-    if lenient or all(len(files.chunks(p, split)) == 1 for p in files.list_files(joined.split(","))):
+    sizes = [1 if lenient else len(files.chunks(p, split)) for p in files.list_files(joined.split(","))]
+    if max(sizes, default=1) == 1:
         return rows.withColumnRenamed("row_no", "read_no").select(*columns)
     counts = rows.groupBy("file_no", "chunk_no").agg(F.count("*").alias("n"))
     before = Window.partitionBy("file_no").orderBy("chunk_no").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("file_no", "chunk_no", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    return rows.join(F.broadcast(offsets), ["file_no", "chunk_no"]).withColumn("read_no", F.col("row_no") + F.col("before")).select(*columns)  # a row per byte range
+    few = sum(sizes) <= BROADCAST_RANGES  # offsets have a row per byte range
+    return rows.join(F.broadcast(offsets) if few else offsets, ["file_no", "chunk_no"]).withColumn("read_no", F.col("row_no") + F.col("before")).select(*columns)
 
 
 def write_fastq(reads: DataFrame, path: str, compression: str | None = None, mode: str = "error") -> None:

@@ -65,7 +65,9 @@ def read_lines(spark: SparkSession, paths: str | list[str], **options) -> DataFr
     before = Window.partitionBy("file").orderBy("chunk_no").rowsBetween(Window.unboundedPreceding, -1)
     counts = rows.groupBy("file", "chunk_no").agg(F.count("*").alias("n"))
     offsets = counts.select("file", "chunk_no", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    return rows.join(F.broadcast(offsets), ["file", "chunk_no"]).select("file", (F.col("row_no") + F.col("before")).alias("line_no"), "value")  # a row per byte range
+    split = int(options.get("splitBytes", fastq.SPLIT_BYTES))
+    few = sum(len(files.chunks(p, split)) for p in files.list_files(joined.split(","))) <= fastq.BROADCAST_RANGES  # offsets have a row per byte range
+    return rows.join(F.broadcast(offsets) if few else offsets, ["file", "chunk_no"]).select("file", (F.col("row_no") + F.col("before")).alias("line_no"), "value")
 
 
 def parse_sam(lines: DataFrame) -> DataFrame:

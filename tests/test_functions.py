@@ -88,6 +88,7 @@ def test_regions(column):
     assert column(lambda c: regions.slice_clipped(c, F.lit(3), F.lit(4)), ["ABCDEFGH", "ABCD", "AB", None]) == ["CDEF", "CD", "", None]
     assert column(lambda c: regions.slice_clipped(c, F.lit(12), F.lit(2), 10), ["ABCDE"]) == ["CD"]
     assert regions.format_path("anything/%2s/%3s/%s", "0123456789") == "anything/01/234/56789"
+    assert column(lambda c: regions.slice_zero_based(c, F.lit(1), F.lit(3)), ["ABCDE", "AB"]) == ["BCD", "B"]
     assert regions.format_path("x/%s", "ab") == "x/ab"
     assert column(lambda c: regions.format_path_column("a/%2s/%3s/%s", c), ["0123456789"]) == ["a/01/234/56789"]
     parts = column(regions.split_ref_path, ["/a/%2s/%s:http://h:80/x/%s;ftp://h/%s:/b"])[0]

@@ -42,6 +42,7 @@ def test_partitions_do_not_matter(spark):
     rows = [(1 + i % 2, i, f"k{i // 2}/{1 + i % 2}", "ACGT") for i in range(201)]
     one, many = frame(spark, rows).coalesce(1), frame(spark, rows[::-1]).repartition(7)
     assert sorted(map(str, pairing.assemble(one).collect())) == sorted(map(str, pairing.assemble(many).collect()))
+    assert len(list(pairing.iterate(pairing.assemble(many)))) == 100 and len(list(pairing.iterate(pairing.assemble(many), True))) == 101
     c = pairing.pair_counts(pairing.assemble(many)).first()
     assert (c.n_pairs, c.n_orphans, c.n_reads, c.n_bases) == (100, 1, 201, 804)
 
