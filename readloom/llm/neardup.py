@@ -65,7 +65,7 @@ def _explode(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(i, SLICE) for b in batches for i in range(0, b.num_rows, SLICE)):
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            texts = [t.encode() for t in batch.column(1).to_pylist()]
+            texts = [t.encode("latin-1", "replace") for t in batch.column(1).to_pylist()]  # a byte per letter
             sizes = np.array([len(t) for t in texts], np.int64)
             codes = kmer_codes(np.frombuffer(b"".join(texts), np.uint8), k)
             starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
