@@ -61,8 +61,20 @@ def kmer_codes(joined: np.ndarray, k: int) -> np.ndarray:
 SLICE = 1000
 
 
-def _explode(k: int):
+#: Kinds of posting rows: of a token not known to be hot, of one known to be, and the mark that a token is.
+PLAIN, KNOWN, MARK = 0, 1, 2
+
+
+def _explode(k: int, hot: int):
+    """Postings ``(token, id, at, kind)`` of texts; ``at`` holds place and size.
+
+    A token that passes ``hot`` rows within a partition is known to be hot from then on: its further rows need not meet at
+    the token, only one mark per partition does.  So a token held by a third of all texts sends no more than about
+    ``hot`` rows per partition to one place.
+    """
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[int, int] = {}  # tokens met several times in a slice
         for batch in (b.slice(i, SLICE) for b in batches for i in range(0, b.num_rows, SLICE)):
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             texts = [t.encode("latin-1", "replace") for t in batch.column(1).to_pylist()]  # a byte per letter
@@ -72,7 +84,68 @@ def _explode(k: int):
             n = sizes - k + 1
             owner = np.repeat(np.arange(len(ids)), n)
             place = np.arange(int(n.sum())) - np.repeat(np.concatenate([[0], np.cumsum(n)[:-1]]), n)
-            yield pa.RecordBatch.from_arrays([pa.array(codes[starts[owner] + place]), pa.array(ids[owner]), pa.array(place.astype(np.int32)), pa.array(sizes[owner].astype(np.int32))], names=["token", "id", "place", "size"])
+            token = codes[starts[owner] + place]
+            known = np.fromiter((t for t, c in seen.items() if c > hot), np.int64)
+            tokens, counts = np.unique(token, return_counts=True)
+            fresh = []
+            for t, c in zip(tokens[counts > 3].tolist(), counts[counts > 3].tolist()):
+                before = seen.get(t, 0)
+                seen[t] = before + c
+                if before <= hot < before + c:
+                    fresh.append(t)
+            kind = np.where(np.isin(token, known), KNOWN, PLAIN).astype(np.int8) if len(known) else np.zeros(len(token), np.int8)
+            marks = np.array(fresh, np.int64)
+            cat = lambda x, y: pa.array(np.concatenate([x, np.full(len(marks), y, x.dtype)]))
+            at = (place << 32) | sizes[owner]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([token, marks])), cat(ids[owner], 0), cat(at, 0), cat(kind, MARK)], names=["token", "id", "at", "kind"])
+
+    return run
+
+
+def _shared(hot: int):
+    """Rows sorted by token, marks first: drops tokens met once; adds ``df``, which is ``hot + 1`` for all hot tokens."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.zeros(0, np.int64)] * 3 + [np.zeros(0, np.int8)]
+        flood = None  # a hot token whose rows still come
+
+        def out(token, ident, at, df):
+            return pa.RecordBatch.from_arrays([pa.array(token), pa.array(ident), pa.array((at >> 32).astype(np.int32)), pa.array((at & 0xFFFFFFFF).astype(np.int32)), pa.array(df.astype(np.int64))], names=["token", "id", "place", "size", "df"])
+
+        def settle(token, ident, at, kind):
+            """Runs that are whole."""
+            if not len(token):
+                return None
+            first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+            length = np.diff(np.append(first, len(token)))
+            count = np.add.reduceat((kind != MARK).astype(np.int64), first)
+            count = np.where(kind[first] != PLAIN, hot + 1, np.minimum(count, hot + 1))
+            df = np.repeat(count, length)
+            keep = (df > 1) & (kind != MARK)
+            return out(token[keep], ident[keep], at[keep], df[keep])
+
+        for batch in batches:
+            rows = [np.concatenate([h, c.to_numpy(zero_copy_only=False)]) for h, c in zip(held, batch.columns)]
+            if flood is not None:
+                n = int(np.searchsorted(rows[0], flood, "right"))
+                keep = rows[3][:n] != MARK
+                yield out(*(r[:n][keep] for r in rows[:3]), np.full(int(keep.sum()), hot + 1))
+                rows = [r[n:] for r in rows]
+                flood = flood if not len(rows[0]) else None
+            if not len(rows[0]):
+                held = rows
+                continue
+            cut = int(np.searchsorted(rows[0], rows[0][-1], "left"))
+            if (whole := settle(*(r[:cut] for r in rows))) is not None:
+                yield whole
+            held = [r[cut:] for r in rows]
+            if len(held[0]) > hot + 1 or held[3][0] != PLAIN:
+                flood = int(held[0][0])
+                keep = held[3] != MARK
+                yield out(*(r[keep] for r in held[:3]), np.full(int(keep.sum()), hot + 1))
+                held = [r[:0] for r in held]
+        if (whole := settle(*held)) is not None:
+            yield whole
 
     return run
 
@@ -139,9 +212,11 @@ def coverage(a: str, b: str, k: int = K) -> float:
 
 def alike_texts(texts: DataFrame, k: int = K, threshold: float = THRESHOLD, hot: int = HOT) -> DataFrame:
     """``(a, b)``, a < b: alike pairs among ``(id, text)`` with distinct texts."""
-    postings = texts.select("id", "text").mapInArrow(_explode(k), "token bigint, id bigint, place int, size int")
-    df = postings.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    shared = postings.join(df, "token").groupBy("id", "size").agg(F.collect_list(F.struct("token", "place", "df")).alias("items"))
+    postings = texts.select("id", "text").mapInArrow(_explode(k, hot), "token bigint, id bigint, at bigint, kind tinyint")
+    # rows meet at their token, but those of tokens known to be hot anywhere
+    met = postings.repartition(F.when(F.col("kind") == KNOWN, F.xxhash64("id", "at")).otherwise(F.col("token"))).sortWithinPartitions("token", F.desc("kind"))
+    counted = met.mapInArrow(_shared(hot), "token bigint, id bigint, place int, size int, df bigint")
+    shared = counted.groupBy("id", "size").agg(F.collect_list(F.struct("token", "place", "df")).alias("items"))
     shared = materialise(shared, "p1-tokens")
     pairs = None
     for hot_only in (False, True):

@@ -97,3 +97,45 @@ def test_groups(spark, rows):
 def test_empty(spark):
     assert p1_found(frame(spark, [])).collect() == []
     assert p1_groups(frame(spark, [(1, None)])).collect() == []
+
+
+def test_runs_over_batches():
+    """Counting of sorted postings cut anywhere into batches, against plain counting."""
+    import pyarrow as pa
+
+    from readloom.llm import neardup as N
+
+    rng = random.Random(0)
+    for _ in range(200):
+        hot, rows = rng.choice([2, 5]), []
+        for t in range(rng.randint(1, 12)):
+            kinds = [N.PLAIN] * rng.choice([1, 1, 2, 3, hot, hot + 1, hot + 2, 20]) + [N.KNOWN] * rng.choice([0, 0, 0, 3]) + [N.MARK] * rng.choice([0, 0, 0, 1])
+            rows += [(t, rng.randrange(1000), (i << 32) | 50, k) for i, k in enumerate(sorted(kinds, reverse=True))]
+        want = []
+        for t in {r[0] for r in rows}:
+            own = [r for r in rows if r[0] == t]
+            real = [r for r in own if r[3] != N.MARK]
+            is_hot = any(r[3] for r in own) or len(real) > hot
+            if is_hot or len(real) > 1:
+                want += [(t, r[1], r[2] >> 32, 50, hot + 1 if is_hot else len(real)) for r in real]
+        cuts = sorted(rng.sample(range(1, len(rows)), min(len(rows) - 1, rng.randint(0, 8)))) if len(rows) > 1 else []
+        batches = []
+        for a, b in zip([0, *cuts], [*cuts, len(rows)]):
+            c = list(zip(*rows[a:b]))
+            batches.append(pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.int64()), pa.array(c[3], pa.int8())], names=["token", "id", "at", "kind"]))
+        got = [tuple(x.values()) for o in N._shared(hot)(iter(batches)) for x in o.to_pylist()]
+        assert sorted(got) == sorted(want)
+
+
+def test_known_hot_tokens_are_marked(monkeypatch):
+    """A token that floods a partition: one mark, its later rows are known, the earlier ones plain."""
+    import pyarrow as pa
+
+    from readloom.llm import neardup as N
+
+    monkeypatch.setattr(N, "SLICE", 10)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(60), pa.int64()), pa.array(["ACGTACGTACGTACGT"] * 60)], names=["id", "text"])
+    rows = [x for o in N._explode(16, 25)(iter([batch])) for x in o.to_pylist()]
+    kinds = [r["kind"] for r in rows]
+    assert len({r["token"] for r in rows}) == 1
+    assert (kinds.count(N.MARK), kinds.count(N.PLAIN), kinds.count(N.KNOWN)) == (1, 30, 30)
