@@ -93,9 +93,13 @@ def _block(docs: DataFrame, items: dict[int, list[str]], run: int) -> DataFrame
         return None
     term_ids = {w: i for i, w in enumerate(vocabulary)}
     index = materialise(docs.select("doc_id", "text").mapInArrow(_index(term_ids, by_anchor), "doc_id bigint, place int, term int"), "p7-index")
-    anchor = spark.createDataFrame([(term_ids[t], i, p) for t, i, p in sorted(anchors)], "term int, item_id bigint, item_place int")
+    # a run around an anchor reaches half its length to one side at least: that term must stand there, or the diagonal has no run
+    half = (run - 1) // 2
+    near = [(term_ids[t], i, p, d, term_ids[items[i][p + d]]) for t, i, p in sorted(anchors) for d in (-half, half) if 0 <= p + d < len(items[i])]
+    anchor = spark.createDataFrame(near, "term int, item_id bigint, item_place int, step int, near int")
     passage = spark.createDataFrame([(i, p, term_ids[w]) for i, ws in items.items() for p, w in enumerate(ws)], "item_id bigint, item_place int, term int")
-    diagonals = index.join(anchor, "term").select("doc_id", "item_id", (F.col("place") - F.col("item_place")).alias("offset")).distinct()
+    met = index.join(anchor, "term").select("doc_id", "item_id", (F.col("place") - F.col("item_place")).alias("offset"), (F.col("place") + F.col("step")).alias("place"), F.col("near").alias("term"))
+    diagonals = met.join(index, ["doc_id", "place", "term"], "left_semi").select("doc_id", "item_id", "offset").distinct()
     wanted = diagonals.join(passage, "item_id").withColumn("place", F.col("offset") + F.col("item_place")).where("place >= 0")
     met = wanted.join(index.distinct(), ["doc_id", "place", "term"])
     rank = F.row_number().over(Window.partitionBy("doc_id", "item_id", "offset").orderBy("place"))
