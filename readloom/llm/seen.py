@@ -32,8 +32,9 @@ from pyspark.sql import functions as F
 from readloom.session import stripped
 
 BITS = 64
-#: Quotient bits of one filter beyond those that choose the range.
-QUOTIENT_BITS = 16
+#: High bits of the hash that choose the range, and those that are the quotient: 8 more, so that each
+#: range has 256 quotients, remainders take 5 bytes, and the run bits of the quotients 2 MB a filter.
+RANGE_BITS, QUOTIENT_BITS = 16, 24
 #: Rows taken up at a time, before the shuffle and in a filter.
 CHUNK = 1 << 20
 
@@ -156,7 +157,7 @@ def seen_before(arrivals: DataFrame, bits: int = BITS, quotient_bits: int = QUOT
     rows = arrivals.where(key.isNotNull() & F.col("arrival_no").isNotNull()).select("arrival_no", F.xxhash64(key).alias("h"))
     local = rows.mapInArrow(_answer_locally, "arrival_no bigint, h bigint, open boolean")
     # a range is chosen by the high bits of the hash; answered rows go anywhere
-    target = F.when(F.col("open"), F.shiftrightunsigned("h", 64 - min(12, bits))).otherwise(F.pmod(F.xxhash64("arrival_no"), F.lit(4096)))
+    target = F.when(F.col("open"), F.shiftrightunsigned("h", 64 - min(RANGE_BITS, bits))).otherwise(F.pmod(F.xxhash64("arrival_no"), F.lit(1 << RANGE_BITS)))
     spread = local.withColumn("target", target).repartition("target").sortWithinPartitions("arrival_no").drop("target")
     return spread.mapInArrow(_filter(bits, quotient_bits), "arrival_no bigint")
 
