@@ -28,6 +28,9 @@ NOT_AUTCG = "Reads must contain only valid IUPAC codes, with no more than 50% of
 LOW_QUALITY = "When submitted file contains base quality scores then >= 50% of reads must have average quality >= 30"
 NOT_CASAVA = "Read name does not match CASAVA18"
 BLANK_NAME = "Read name is blank"
+REPEATED_NAME = "Multiple occurrences of a read name"
+FEW_PAIRS = "Detected paired fastq submission with less than 20% of paired reads"
+MANY_LABELS = "More pair labels than files"
 BAD_QUALITY = "Qualities hold characters that can't be printed"
 QUICK_LIMIT, EXTENDED_LIMIT = 100_000, 100_000_000
 MIN_PAIRING = 20.0
@@ -165,9 +168,9 @@ def validate(reads: DataFrame, manifest: DataFrame, quick: bool | None = None, c
         F.when(F.coalesce("n_reads", F.lit(0)) == 0, NO_READS)
         .when(content.isNotNull(), content)
         .when(F.col("f").isNotNull(), F.col("f.error"))
-        .when(F.col("n_dup") > 0, F.lit("Multiple occurrences of a read name"))
-        .when(F.col("pairing_pct") < MIN_PAIRING, F.lit("Detected paired fastq submission with less than 20% of paired reads"))
-        .when(F.col("too_many"), F.lit("More pair labels than files"))
+        .when(F.col("n_dup") > 0, REPEATED_NAME)
+        .when(F.col("pairing_pct") < MIN_PAIRING, FEW_PAIRS)
+        .when(F.col("too_many"), MANY_LABELS)
     )
     by_read = F.coalesce(F.when(F.col("e").isNotNull(), F.col("e")), F.when(content.isNull(), F.col("f")))
     return out.select(

@@ -111,7 +111,7 @@ def lenient_records(lines: Iterator[str], expected_length: int | None = None) ->
                 return
             room = len(bases) - len(quals)
             if not _PRINTABLE.fullmatch(line[:room]) and _NUMBERS.fullmatch(line.strip()):
-                scores = [int(x) for x in line.replace(" -", " \0").split() for x in [x.replace("\0", "-")] if x.strip("-")]
+                scores = [int(x) for x in line.split() if x.strip("-")]
                 if len(quals) or len(scores) != len(bases):
                     raise FastqError(f"{len(scores)} scores for {len(bases)} bases", n)
                 quals = "".join(chr(x + 33) for x in scores)
