@@ -109,8 +109,8 @@ def parse_quality(reads: DataFrame) -> DataFrame:
     q = stripped(F.col("raw_quals"))
     kept = reads.withColumn("q", q).where((F.length("q") > 0) & (F.col("q") != "*"))
     body = F.regexp_replace("q", _WORDS, "")
-    # whether it can be a list at all is a cheap test; only those rows are split
-    maybe = F.col("q").rlike(r"\d%?\s*[,;|/\s]\s*[-+.]?\d|^[A-Za-z][A-Za-z()_%\-]*\s*[:=]?\s+[-+.]?\d|^[-+]?\d+(?:\.\d+)?%?$") & body.rlike(r"^[-+0-9.eE%,;|/\s]+$")
+    # whether it can be a list at all is a cheap test, of the last two characters first; only those rows are split
+    maybe = F.right(F.col("q"), F.lit(2)).rlike(r"^[-+0-9.eE%,;|/\s]?[0-9.%]$") & F.col("q").rlike(r"\d%?\s*[,;|/\s]\s*[-+.]?\d|^[A-Za-z][A-Za-z()_%\-]*\s*[:=]?\s+[-+.]?\d|^[-+]?\d+(?:\.\d+)?%?$") & body.rlike(r"^[-+0-9.eE%,;|/\s]+$")
     items = F.split(F.trim(F.regexp_replace(body, r"[,;|/\s]+", " ")), " ")
     whole = F.forall(items, lambda x: x.rlike("^" + _NUMBER + "$"))
     has_words = F.regexp_extract("q", _WORDS, 1)
