@@ -122,11 +122,55 @@ def phrase_matches(documents: DataFrame, eval_items: DataFrame, run: int = RUN,
     return every if every is not None else spark.createDataFrame([], "doc_id bigint, item_id bigint, place int, item_place int, length bigint")
 
 
+def _least(n: int, share: float) -> int:
+    """The least number of n terms, one at least, that reaches the share."""
+    return next((k for k in range(1, n + 1) if k / n >= share), n + 1)
+
+
+def most_terms(places: list[np.ndarray], span: int) -> int:
+    """The most terms met within any ``span`` consecutive places; ``places``: of each term, ascending."""
+    at = np.concatenate(places)
+    before = np.concatenate([np.append(np.int64(-span), p[:-1]) for p in places])
+    # an occurrence is the first of its term in the stretches that begin after the one before it and reach it
+    begin = np.maximum(before + 1, at - span + 1)
+    change = np.repeat([1, -1], len(at))
+    order = np.lexsort((change, np.concatenate([begin, at + 1])))
+    return int(np.cumsum(change[order]).max())
+
+
+def _nearest(passages: dict[int, tuple[frozenset[str], int, int]], by_anchor: dict[str, list[frozenset[str]]], of_anchor: dict[str, list[int]]):
+    """Shares of candidate passages in each document; ``passages``: distinct terms, length, terms needed."""
+    keys = by_anchor.keys()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            docs, items, shares = [], [], []
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                words = words_of(text)
+                held = set(words)
+                if not any(w <= held for a in keys & held for w in by_anchor[a]):
+                    continue
+                near = [i for i in {i for a in keys & held for i in of_anchor[a]} if len(passages[i][0] & held) >= passages[i][2]]
+                wanted = set().union(*(passages[i][0] for i in near))
+                found: dict[str, list[int]] = {}
+                for place, w in enumerate(words if near else ()):
+                    if w in wanted:
+                        found.setdefault(w, []).append(place)
+                at = {w: np.array(x, np.int64) for w, x in found.items()}
+                for i in near:
+                    terms, span, need = passages[i]
+                    if (n := most_terms([at[w] for w in terms & held], span)) >= need:
+                        docs.append(doc), items.append(i), shares.append(n / len(terms))
+            yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(items, pa.int64()), pa.array(shares, pa.float64())], names=["doc_id", "item_id", "share"])
+
+    return run
+
+
 def proximity_matches(documents: DataFrame, eval_items: DataFrame, share: float = 0.8, run: int = RUN, block: int = BLOCK) -> DataFrame:
-    """``(doc_id, item_id, share)``: indexed documents that hold at least ``share`` of a passage's distinct terms
-    within a stretch as long as the passage, in any order.
+    """``(doc_id, item_id, share)``: documents that hold all terms of some window of a passage, and at least ``share`` of a
+    passage's distinct terms within a stretch as long as the passage, in any order.
 
-    Candidates are the documents that share one window's terms with any passage (see the module).
+    The share is the largest over all such stretches, wherever they begin.
     """
     spark = documents.sparkSession
     docs = documents.where("doc_id is not null and length(text) > 0").select("doc_id", "text")
@@ -136,21 +180,16 @@ def proximity_matches(documents: DataFrame, eval_items: DataFrame, share: float
     for b in range(n_blocks):
         part = {r.item_id: words_of(r.passage) for r in items.where(F.pmod(F.xxhash64("item_id"), F.lit(n_blocks)) == b).collect()}
         part = {i: w for i, w in part.items() if len(w) >= run}
-        vocabulary = sorted({w for ws in part.values() for w in ws})
-        counted = docs.select("text").mapInArrow(_count_terms(frozenset(vocabulary)), "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
+        vocabulary = frozenset(w for ws in part.values() for w in ws)
+        counted = docs.select("text").mapInArrow(_count_terms(vocabulary), "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
         by_anchor, anchors = windows(part, {r.term: r.n for r in counted.collect()}, run)
         if not anchors:
             continue
-        ids = {w: i for i, w in enumerate(vocabulary)}
-        index = materialise(docs.mapInArrow(_index(ids, by_anchor), "doc_id bigint, place int, term int"), "p7-near").distinct()
-        anchor = spark.createDataFrame([(ids[t], i) for t, i in sorted({(t, i) for t, i, _ in anchors})], "term int, item_id bigint")
-        terms = spark.createDataFrame([(i, ids[w], len(ws), len(set(ws))) for i, ws in part.items() for w in set(ws)], "item_id bigint, term int, span int, n_terms int")
-        pairs = index.join(anchor, "term").select("doc_id", "item_id").distinct()
-        hits = pairs.join(terms, "item_id").join(index, ["doc_id", "term"])
-        # stretches aligned to halves of the passage's length: any stretch of its length lies in one of two neighbours
-        halves = hits.withColumn("cell", F.explode(F.array(F.floor(F.col("place") / F.col("span")) * 2, F.floor((F.col("place") - F.col("span") / 2) / F.col("span")) * 2 + 1)))
-        met = halves.groupBy("doc_id", "item_id", "cell", "n_terms").agg(F.count_distinct("term").alias("n"))
-        found = met.groupBy("doc_id", "item_id").agg(F.max(F.col("n") / F.col("n_terms")).alias("share")).where(F.col("share") >= share)
+        of_anchor: dict[str, list[int]] = {}
+        for term, item in sorted({(t, i) for t, i, _ in anchors}):
+            of_anchor.setdefault(term, []).append(item)
+        passages = {i: (frozenset(w), len(w), _least(len(set(w)), share)) for i, w in part.items()}
+        found = docs.mapInArrow(_nearest(passages, by_anchor, of_anchor), "doc_id bigint, item_id bigint, share double").groupBy("doc_id", "item_id").agg(F.max("share").alias("share"))
         every = found if every is None else every.unionByName(found)
     return every if every is not None else spark.createDataFrame([], "doc_id bigint, item_id bigint, share double")
 

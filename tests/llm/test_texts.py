@@ -73,6 +73,30 @@ def test_proximity(spark):
     assert set(got) == {(1, 9)}
 
 
+def brute_shares(d, its, share=0.8):
+    out = {}
+    for r in d:
+        w = words_of(r["text"])
+        for i, p in its:
+            q = words_of(p)
+            n = max((len(set(q) & set(w[k : k + len(q)])) for k in range(max(1, len(w) - len(q) + 1))), default=0)
+            if n / len(set(q)) >= share:
+                out[r["doc_id"], i] = max(out.get((r["doc_id"], i), 0), n / len(set(q)))
+    return out
+
+
+def test_proximity_wherever_a_stretch_begins(spark):
+    rng = random.Random(2)
+    w = PASSAGE.split()
+    its = [(9, PASSAGE), (10, " ".join(f"t{i % 7} u{i}" for i in range(15)))]
+    d = [{"doc_id": k, "text": " ".join([f"f{i}" for i in range(k)] + w)} for k in range(0, 45, 5)]
+    d += [{"doc_id": 100 + k, "text": " ".join(w[:13] + ["gap"] * k + rng.sample(w[13:], 27))} for k in range(12)]
+    d += [{"doc_id": 200 + k, "text": " ".join(["x"] * k + (its[1][1] + " ").split() + w[:20])} for k in range(9)] + [{"doc_id": 5, "text": "x"}, {"doc_id": 5, "text": PASSAGE}]
+    got = [tuple(r) for r in leaks.proximity_matches(docs(spark, d), items(spark, its)).collect()]
+    want = brute_shares(d, its)
+    assert len(got) == len(want) and {(a, b): s for a, b, s in got} == want and want[10, 9] == 1
+
+
 # ---------------------------------------------------------------- mixing
 
 TOKENIZER = mixing.TOKENIZER
