@@ -9,6 +9,8 @@
    terms, moved by the offset, are intersected with them, and runs of consecutive places of at
    least ``run`` words are the matches.
 
+Proximity needs no index: each passage is keyed by its rarest terms, and measured where the text is read.
+
 Test items are taken up in blocks of ``block`` items, so that neither the driver nor a worker holds more test
 terms than a block has; the corpus is never sampled, cut or collected.
 
@@ -138,9 +140,22 @@ def most_terms(places: list[np.ndarray], span: int) -> int:
     return int(np.cumsum(change[order]).max())
 
 
-def _nearest(passages: dict[int, tuple[frozenset[str], int, int]], by_anchor: dict[str, list[frozenset[str]]], of_anchor: dict[str, list[int]]):
+def prefixes(passages: dict[int, tuple[frozenset[str], int, int]], counts: dict[str, int]) -> dict[str, list[int]]:
+    """Passages by each of their rarest terms, one more than may be missing: a text with enough terms holds one of these.
+
+    Terms that no document holds are the rarest, and key nothing.
+    """
+    of: dict[str, list[int]] = {}
+    for item, (terms, _, need) in sorted(passages.items()):
+        for w in sorted(terms, key=lambda w: (counts.get(w, 0), w))[: len(terms) - need + 1]:
+            if counts.get(w, 0):
+                of.setdefault(w, []).append(item)
+    return of
+
+
+def _nearest(passages: dict[int, tuple[frozenset[str], int, int]], of_term: dict[str, list[int]]):
     """Shares of candidate passages in each document; ``passages``: distinct terms, length, terms needed."""
-    keys = by_anchor.keys()
+    keys = of_term.keys()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -148,9 +163,7 @@ def _nearest(passages: dict[int, tuple[frozenset[str], int, int]], by_anchor: di
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 words = words_of(text)
                 held = set(words)
-                if not any(w <= held for a in keys & held for w in by_anchor[a]):
-                    continue
-                near = [i for i in {i for a in keys & held for i in of_anchor[a]} if len(passages[i][0] & held) >= passages[i][2]]
+                near = [i for i in {i for w in keys & held for i in of_term[w]} if len(passages[i][0] & held) >= passages[i][2]]
                 wanted = set().union(*(passages[i][0] for i in near))
                 found: dict[str, list[int]] = {}
                 for place, w in enumerate(words if near else ()):
@@ -167,10 +180,12 @@ def _nearest(passages: dict[int, tuple[frozenset[str], int, int]], by_anchor: di
 
 
 def proximity_matches(documents: DataFrame, eval_items: DataFrame, share: float = 0.8, run: int = RUN, block: int = BLOCK) -> DataFrame:
-    """``(doc_id, item_id, share)``: documents that hold all terms of some window of a passage, and at least ``share`` of a
-    passage's distinct terms within a stretch as long as the passage, in any order.
+    """``(doc_id, item_id, share)``: documents that hold at least ``share`` of a passage's distinct terms within a
+    stretch as long as the passage, in any order.
 
-    The share is the largest over all such stretches, wherever they begin.
+    The share is the largest over all such stretches, wherever they begin.  No pair is lost: a document is looked at for
+    every passage of which it holds one of the rarest terms (see ``prefixes``).  Passages of fewer than ``run`` words
+    are left out as in the search for phrases.
     """
     spark = documents.sparkSession
     docs = documents.where("doc_id is not null and length(text) > 0").select("doc_id", "text")
@@ -182,14 +197,11 @@ def proximity_matches(documents: DataFrame, eval_items: DataFrame, share: float
         part = {i: w for i, w in part.items() if len(w) >= run}
         vocabulary = frozenset(w for ws in part.values() for w in ws)
         counted = docs.select("text").mapInArrow(_count_terms(vocabulary), "term string, n bigint").groupBy("term").agg(F.sum("n").alias("n"))
-        by_anchor, anchors = windows(part, {r.term: r.n for r in counted.collect()}, run)
-        if not anchors:
-            continue
-        of_anchor: dict[str, list[int]] = {}
-        for term, item in sorted({(t, i) for t, i, _ in anchors}):
-            of_anchor.setdefault(term, []).append(item)
         passages = {i: (frozenset(w), len(w), _least(len(set(w)), share)) for i, w in part.items()}
-        found = docs.mapInArrow(_nearest(passages, by_anchor, of_anchor), "doc_id bigint, item_id bigint, share double").groupBy("doc_id", "item_id").agg(F.max("share").alias("share"))
+        of_term = prefixes(passages, {r.term: r.n for r in counted.collect()})  # at most the terms of the block
+        if not of_term:
+            continue
+        found = docs.mapInArrow(_nearest(passages, of_term), "doc_id bigint, item_id bigint, share double").groupBy("doc_id", "item_id").agg(F.max("share").alias("share"))
         every = found if every is None else every.unionByName(found)
     return every if every is not None else spark.createDataFrame([], "doc_id bigint, item_id bigint, share double")
 

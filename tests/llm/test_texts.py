@@ -97,6 +97,18 @@ def test_proximity_wherever_a_stretch_begins(spark):
     assert len(got) == len(want) and {(a, b): s for a, b, s in got} == want and want[10, 9] == 1
 
 
+def test_proximity_without_a_whole_window(spark):
+    w = PASSAGE.split()
+    other = PASSAGE.replace("word", "rare")
+    its = [(9, PASSAGE), (10, other), (11, "a b c")]
+    replaced = [x if i % 12 < 11 else f"new{i}" for i, x in enumerate(w)]
+    d = [{"doc_id": 1, "text": " ".join(replaced)}, {"doc_id": 2, "text": " ".join(w[:32])}, {"doc_id": 3, "text": " ".join(w[:31])}, {"doc_id": 4, "text": " ".join(w[8:])}]
+    d += [{"doc_id": 10 + k, "text": " ".join(w[k::5])} for k in range(5)] + [{"doc_id": 20, "text": " ".join(x for i, x in enumerate(w) if i % 5)}]
+    got = {(r.doc_id, r.item_id): r.share for r in leaks.proximity_matches(docs(spark, d), items(spark, its)).collect()}
+    assert got == brute_shares(d, its[:2]) == {(1, 9): 0.925, (2, 9): 0.8, (4, 9): 0.8, (20, 9): 0.8}
+    assert leaks.proximity_matches(docs(spark, []), items(spark, its)).collect() == [] == leaks.proximity_matches(docs(spark, d), items(spark, [])).collect()
+
+
 # ---------------------------------------------------------------- mixing
 
 TOKENIZER = mixing.TOKENIZER
