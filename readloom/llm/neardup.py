@@ -9,8 +9,8 @@ than ``hot`` texts ("hot": adapters, low complexity) propose nothing; what they
 the need.  With n sharable tokens of which at least o must be shared, any global token order puts
 a shared token among the first n - o + 1 of either text.  Three orders are used (rarity, and two
 hashes); the tokens of a text that are in none of its prefixes are not indexed.  A pair becomes a
-candidate only if it shares a prefix token under *every* order and as many tokens as either needs;
-then it is verified letter for letter.  Texts that hot tokens alone cover to the threshold are
+candidate only if it shares a prefix token under *every* order and, among the indexed tokens, as many as
+either needs, less those that either of the two left out; then it is verified letter for letter.  Texts that hot tokens alone cover to the threshold are
 compared among themselves over their hot tokens by the same filter, so the cut loses nothing.
 
 Exact copies are one class: the work is done once per text.  Pairs of copies are written out for
@@ -157,7 +157,7 @@ def _mix(tokens: np.ndarray, seed: int) -> np.ndarray:
 
 
 def _prefixes(k: int, threshold: float, hot: int, hot_only: bool):
-    """Per text: which of its tokens lie in a prefix, as bits, and how many of them a partner must share."""
+    """Per text: which of its tokens lie in a prefix, as bits; how many a partner must share (``o``); how many lie in none (``left``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(i, SLICE) for b in batches for i in range(0, b.num_rows, SLICE)):
@@ -191,10 +191,10 @@ def _prefixes(k: int, threshold: float, hot: int, hot_only: bool):
                 for b, order in enumerate(orders):
                     bits[order[:length]] |= 1 << b
                 kept = bits > 0
-                need_seen = max(1, o - int((~kept).sum()))
-                out.append((np.full(int(kept.sum()), ident), token[kept], bits[kept], np.full(int(kept.sum()), need_seen, np.int32)))
-            cols = [np.concatenate([o[i] for o in out]) if out else np.zeros(0, t) for i, t in enumerate((np.int64, np.int64, np.int32, np.int32))]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["id", "token", "bits", "need"])
+                n = int(kept.sum())
+                out.append((np.full(n, ident), token[kept], bits[kept], np.full(n, o, np.int32), np.full(n, len(token) - n, np.int32)))
+            cols = [np.concatenate([o[i] for o in out]) if out else np.zeros(0, t) for i, t in enumerate((np.int64, np.int64, np.int32, np.int32, np.int32))]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["id", "token", "bits", "o", "left"])
 
     return run
 
@@ -220,11 +220,12 @@ def alike_texts(texts: DataFrame, k: int = K, threshold: float = THRESHOLD, hot:
     shared = materialise(shared, "p1-tokens")
     pairs = None
     for hot_only in (False, True):
-        index = shared.mapInArrow(_prefixes(k, threshold, hot, hot_only), "id bigint, token bigint, bits int, need int")
-        a = index.select("token", F.col("id").alias("a"), F.col("bits").alias("bits_a"), F.col("need").alias("need_a"))
-        b = index.select("token", F.col("id").alias("b"), F.col("bits").alias("bits_b"), F.col("need").alias("need_b"))
+        index = shared.mapInArrow(_prefixes(k, threshold, hot, hot_only), "id bigint, token bigint, bits int, o int, left int")
+        a, b = (index.select("token", *(F.col(c).alias(t) for c, t in (("id", x), ("bits", f"bits_{x}"), ("o", f"o_{x}"), ("left", f"left_{x}")))) for x in "ab")
+        # of the tokens shared, only those that neither of the two left out are met
+        need = F.greatest("o_a", "o_b") - F.col("left_a") - F.col("left_b")
         both = a.join(b, "token").where("a < b").groupBy("a", "b").agg(
-            F.bit_or(F.col("bits_a").bitwiseAND(F.col("bits_b"))).alias("bits"), F.count("*").alias("n"), F.max(F.greatest("need_a", "need_b")).alias("need")
+            F.bit_or(F.col("bits_a").bitwiseAND(F.col("bits_b"))).alias("bits"), F.count("*").alias("n"), F.max(need).alias("need")
         ).where("bits = 7 and n >= need").select("a", "b")
         pairs = both if pairs is None else pairs.unionByName(both)
     pairs = pairs.distinct()

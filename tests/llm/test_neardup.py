@@ -139,3 +139,18 @@ def test_known_hot_tokens_are_marked(monkeypatch):
     kinds = [r["kind"] for r in rows]
     assert len({r["token"] for r in rows}) == 1
     assert (kinds.count(N.MARK), kinds.count(N.PLAIN), kinds.count(N.KNOWN)) == (1, 30, 30)
+
+
+@pytest.mark.parametrize("n, every", [(84, 17), (150, 17)])
+def test_tokens_left_out_by_the_partner(spark, n, every):
+    rng = random.Random(3)
+    rows = []
+    for i in range(0, 30, 3):
+        a = seq(rng, n)
+        b = "".join(next(y for y in "ACGT" if y != x) if j % every == every - 1 else x for j, x in enumerate(a))
+        rows += [(i, a), (i + 1, b), (i + 2, seq(rng, n) + a + seq(rng, n))]
+    want = brute(rows)
+    assert want == {(i, i + 1) for i in range(0, 30, 3)}
+    assert {tuple(r) for r in p1_found(frame(spark, rows)).collect()} == want
+    groups = {r.record_id: r.group_id for r in p1_groups(frame(spark, rows)).collect()}
+    assert all(groups[i] == groups[i + 1] == i and groups[i + 2] == i + 2 for i in range(0, 30, 3))
