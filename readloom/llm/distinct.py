@@ -8,7 +8,8 @@ error of linear counting, ``sqrt(m * (exp(t) - t - 1)) / n`` with t = n / m.
 A bitmap is held as rows of 64-bit words ``(group, word, bits)``: sets that touch few words stay
 small, a group with a third of all rows is spread over its words, and each union is a
 ``bit_or`` with map-side combine.  The finest partials (day and file) are made once from
-the rows; every coarser set is a union of those partials.
+the rows; every coarser set is a union of those partials.  All combinations of day, centre, platform,
+run and file are given; those with the file and what the manifest tells of it are counted once.
 
 Defined cases: null, blank and ``*`` identifiers are not counted (a group without any has the count
 0); names lose surrounding blanks and one leading ``@``, bases are upper-cased with U as T; centres are
@@ -20,6 +21,7 @@ other columns are ignored.
 from __future__ import annotations
 
 import math
+from itertools import combinations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,8 +29,11 @@ from pyspark.sql import functions as F
 from readloom.session import materialise, stripped
 
 TARGET_ERROR = 0.01
-#: The reported combinations.
-SETS = ((), ("day",), ("center",), ("platform",), ("run_accession",), ("file_id",), ("day", "center"), ("day", "platform"), ("center", "platform"), ("day", "center", "platform"), ("day", "run_accession"), ("day", "file_id"))
+COLUMNS = ("day", "center", "platform", "run_accession", "file_id")
+#: What the manifest tells of a file: beside ``file_id``, these make no other groups.
+OF_FILE = ("center", "platform", "run_accession")
+#: The reported combinations: all.
+SETS = tuple(s for n in range(len(COLUMNS) + 1) for s in combinations(COLUMNS, n))
 
 
 def standard_error(n: float, m: float) -> float:
@@ -79,14 +84,18 @@ def distinct_counts(reads: DataFrame, manifest: DataFrame, target: float = TARGE
     fine = materialise(partials(rows, ["day", "file_id"], {"names": "name", "bases": "bases"}, m), "p2-partials")
     files = manifest.groupBy("file_id").agg(F.first("run_accession").alias("run_accession"), F.first(F.upper(F.trim("center"))).alias("center"), F.first("platform").alias("platform"))
     known = fine.join(files, "file_id", "left")
-    columns = ["day", "center", "platform", "run_accession", "file_id"]
-    every = None
+    kinds = {"day": "date", "file_id": "bigint"}
+    same: dict[tuple[str, ...], list] = {}  # sets with the same groups
     for s in sets:
-        part = known if set(s) == {"day", "file_id"} else union(known, list(s))
-        part = estimates(part, list(s), m).select(F.lit(",".join(s)).alias("grouping"), *(F.col(c) if c in s else F.lit(None).cast({"day": "date", "file_id": "bigint"}.get(c, "string")).alias(c) for c in columns), "kind", "estimate", "standard_error")
+        same.setdefault(tuple(c for c in COLUMNS if c in s or "file_id" in s and c in OF_FILE), []).append(s)
+    every = None
+    for groups, alike in same.items():
+        part = known if {"day", "file_id"} <= set(groups) else union(known, list(groups))
+        rows_of = (F.struct(F.lit(",".join(s)).alias("grouping"), *((F.col(c) if c in s else F.lit(None)).cast(kinds.get(c, "string")).alias(c) for c in COLUMNS)) for s in alike)
+        part = estimates(part, list(groups), m).select(F.explode(F.array(*rows_of)).alias("g"), "kind", "estimate", "standard_error").select("g.*", "kind", "estimate", "standard_error")
         every = part if every is None else every.unionByName(part)
     pick = lambda k, c: F.max(F.when(F.col("kind") == k, F.col(c)))
-    return every.groupBy("grouping", *columns).agg(
+    return every.groupBy("grouping", *COLUMNS).agg(
         F.coalesce(pick("names", "estimate"), F.lit(0.0)).alias("distinct_names"), F.coalesce(pick("names", "standard_error"), F.lit(0.0)).alias("names_error"),
         F.coalesce(pick("bases", "estimate"), F.lit(0.0)).alias("distinct_bases"), F.coalesce(pick("bases", "standard_error"), F.lit(0.0)).alias("bases_error"),
         F.lit(m).cast("bigint").alias("bitmap_bits"),

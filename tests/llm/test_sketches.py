@@ -156,6 +156,23 @@ def test_distinct_counts(spark):
             assert abs(value - exact) <= max(1.5, 5 * error * exact)
 
 
+def test_distinct_every_combination(spark):
+    columns = ("day", "center", "platform", "run_accession", "file_id")
+    files = {1: ("r1", "A", "P"), 2: ("r1", None, "P"), 3: ("r1", " a", "Q"), 4: ("r2", "B", "P")}
+    rows = [(i, 1 + i % 4, f"n{i}", f"ACGT{i}", datetime(2025, 1, 1 + i % 3), None, "k", 1, 1) for i in range(24)] + [(24, None, "n24", "A", None, None, "k", 1, 1)]
+    man = spark.createDataFrame([(k, *v, "x", "y") for k, v in files.items()], MAN)
+    got = {(r.grouping, *(r[c] for c in columns)): round(r.distinct_names) for r in distinct.distinct_counts(spark.createDataFrame(rows, SEQ), man).collect()}
+    want = {}
+    for _, f, _, _, at, *_ in rows:
+        run, center, platform = files.get(f, (None, None, None))
+        v = {"day": at and at.date(), "center": center and center.strip().upper(), "platform": platform, "run_accession": run, "file_id": f}
+        for k in range(32):
+            s = [c for j, c in enumerate(columns) if k >> j & 1]
+            g = (",".join(s), *(v[c] if c in s else None for c in columns))
+            want[g] = want.get(g, 0) + 1
+    assert got == want and got["center,run_accession", None, "A", None, "r1", None] == 12
+
+
 def test_distinct_parts_merge_and_sizes(spark):
     df = spark.range(20_000).selectExpr("cast(id % 2 as int) as half", "concat('x', id % 12000) as v")
     m = distinct.bitmap_bits(20_000)
