@@ -8,9 +8,9 @@ Training, on at most ``MAX_LABELLED`` labelled documents (those with the smalles
 * the border between two neighbouring levels is a quantile of a document's known-word grades and a cut,
   both chosen on documents whose words were graded without them (two folds).
 
-Prediction covers every document: its main text (lines that end as sentences do; menus, crumbs and
-footers do not) must be English prose, told by the share of known words, and long enough to judge.  Its
-level is one more than the number of borders it passes.
+Prediction covers every document: its main text (lines that end as sentences do, and paragraphs up to
+their last full stop; menus, crumbs, notices and footers do not) must be English prose, told by the share
+of known words, and long enough to judge.  Its level is one more than the number of borders it passes.
 
 Defined cases: null and empty texts, pages without prose, other languages and error pages have
 the level null; labels that are null or of unknown documents are ignored; without usable labels all
@@ -37,19 +37,31 @@ ACQUIRED, LEVELS = 0.2, 5
 MIN_WORDS, MIN_DOCS = 10, 3
 #: Least share of known words, as a share of the labelled documents' median.
 KNOWN_SHARE = 0.7
+#: A line that does not end as a sentence counts up to its last full stop, from two sentences or so many words on: notices
+#: with a button behind them are one shorter sentence.
+PARAGRAPH_WORDS = 20
 QUANTILES = (0.25, 0.4, 0.5, 0.6, 0.7, 0.75, 0.8, 0.85, 0.9)
 
 _PROSE_LINE = re.compile(r"[.!?][\"'”’»)\]]*$")
-_UP_TO_STOP = re.compile(r".*[.!?](?=[\s\"'”’)]|$)", re.S)
+_STOP = re.compile("[.!?](?=[\\s\"'”’)â\ufffd]|$)")  # damaged quotes begin with the last two
+_UP_TO_STOP = re.compile(f".*{_STOP.pattern}", re.S)
 _WORD = re.compile(r"[^\W\d_]+")
 
 
+def _prose(line: str) -> str | None:
+    """What of a line is prose: all, or up to the last full stop of a paragraph."""
+    if _PROSE_LINE.search(line):
+        return line if line.count(" ") >= 2 else None
+    m = _UP_TO_STOP.match(line)
+    return m.group() if m and (m.group().count(" ") >= PARAGRAPH_WORDS - 1 or m.group().count(" ") >= 2 and len(_STOP.findall(m.group())) >= 2) else None
+
+
 def main_words(text: str | None) -> list[str]:
     """The lower-cased words of a page's prose."""
     if not text:
         return []
     lines = [x for x in (y.strip() for y in cleaned(text).split("\n")) if x]
-    prose = [x for x in lines if _PROSE_LINE.search(x) and x.count(" ") >= 2]
+    prose = [x for x in map(_prose, lines) if x]
     if not prose:
         prose = [m.group() for m in map(_UP_TO_STOP.match, lines) if m and m.group().count(" ") >= 2]
     return _WORD.findall("\n".join(prose).lower())

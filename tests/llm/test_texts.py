@@ -219,6 +219,16 @@ def test_levels_without_labels(spark, graded):
     assert reading.p9_found(docs(spark, d[:5]), spark.createDataFrame([(0, 3, "a", "x", 0)], LABELS)).collect() in ([], [])
 
 
+def test_words_of_cut_paragraphs():
+    whole = "This line is whole.\n"
+    assert reading.main_words(whole + "One sentence stands here. Another one follows. The third was cu") == "this line is whole one sentence stands here another one follows".split()
+    for quote in ("\u00e2\u20ac\x9d", "\u00e2\x80\x9d", "\ufffd"):
+        assert reading.main_words(whole + "It was late. They left the house." + quote) == "this line is whole it was late they left the house".split()
+    long = " ".join(["word"] * 20) + "."
+    assert reading.main_words(whole + long + " Answer 4") == "this line is whole".split() + ["word"] * 20
+    assert reading.main_words(whole + "This site uses cookies to measure visits. Got it\nHome | News\nPage 1.5 of our little site") == "this line is whole".split()
+
+
 def test_word_grades():
     g = reading.word_grades({"easy": np.array([10.0, 10, 10, 10, 10]), "hard": np.array([0.0, 0, 0, 10, 10]), "top": np.array([0.0, 0, 0, 0, 10])})
     assert g["easy"] < 2 < 3 < g["hard"] < g["top"]
