@@ -45,6 +45,17 @@ def p5_error_rates(spark: SparkSession, d: str) -> DataFrame:
     return seen.error_report(table(spark, d, "read_arrivals"))
 
 
+@query
+def p5_incremental(spark: SparkSession, d: str) -> DataFrame:
+    """As p5_found, in four consecutive parts, each answered from the stored filters of those before."""
+    return seen.incremental(table(spark, d, "read_arrivals"))
+
+
+@query
+def p5_filter_sizes(spark: SparkSession, d: str) -> DataFrame:
+    return seen.filter_sizes(table(spark, d, "read_arrivals"))
+
+
 @query
 def p6_found(spark: SparkSession, d: str) -> DataFrame:
     return heavy.p6_found(table(spark, d, "seq_reads"))
@@ -63,6 +74,7 @@ ORACLE["p5_found"] = _ARRIVAL_KEYS + """
 select arrival_no from (select arrival_no, min(arrival_no) over (partition by key) as first from k where length(trim(key)) > 0)
 where arrival_no > first
 """
+ORACLE["p5_incremental"] = ORACLE["p5_found"]
 _VALUES = """
 with v as (select distinct read_id, replace(upper(trim(bases, chr(32) || chr(9) || chr(13) || chr(10))), 'U', 'T') as bases from seq_reads),
 t as (select count(distinct read_id) as n from v)

@@ -4,6 +4,7 @@ from collections import Counter
 from datetime import datetime
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from readloom.llm import distinct, heavy, seen
@@ -82,15 +83,72 @@ def brute_seen(rows):
     return out
 
 
-@pytest.mark.parametrize("chunk", [1 << 20, 50])
-def test_seen_before(spark, monkeypatch, chunk):
-    monkeypatch.setattr(seen, "CHUNK", chunk)
-    rng = random.Random(2)
-    pool = [f"read{i}" for i in range(400)] + ["@x", " @x", "@@x", "x", "X", " ", "", "@", "@ ", None, "é", "　y", "y", "L" * 20_000]
-    rows = [(i, "hot" if rng.random() < 0.35 else rng.choice(pool)) for i in range(1, 1500)]
+ARRIVAL_POOL = [f"read{i}" for i in range(400)] + ["@x", " @x", "@@x", "x", "X", " ", "", "@", "@ ", None, "é", "　y", "y", "L" * 20_000]
+
+
+def some_arrivals(seed, n=1500):
+    rng = random.Random(seed)
+    rows = [(i, "hot" if rng.random() < 0.35 else rng.choice(ARRIVAL_POOL)) for i in range(1, n)]
     rng.shuffle(rows)
-    got = [r.arrival_no for r in seen.p5_found(arrivals(spark, rows + rows[:30]).repartition(6)).collect()]
+    return rows
+
+
+@pytest.mark.parametrize("ranges", [1, 4, 64])
+def test_seen_before(spark, ranges):
+    rows = some_arrivals(2)
+    df = arrivals(spark, rows + rows[:30]).repartition(6)
+    got = [r.arrival_no for r in seen.seen_before(df, ranges=ranges).select("arrival_no").distinct().collect()]
     assert len(got) == len(set(got)) and set(got) == brute_seen(rows)
+    assert {r.arrival_no for r in seen.p5_found(df).collect()} == brute_seen(rows)
+
+
+@pytest.mark.parametrize("parts", [1, 3])
+def test_stored_filters_answer_later_arrivals(spark, parts):
+    rows = some_arrivals(4)
+    got = [r.arrival_no for r in seen.incremental(arrivals(spark, rows + rows[:30]).repartition(5), parts).collect()]
+    assert len(got) == len(set(got)) and set(got) == brute_seen(rows)
+
+
+def test_merged_filters_hold_all_keys(spark):
+    rows = some_arrivals(5)
+    a, b = arrivals(spark, rows[:900]), arrivals(spark, rows[500:])
+    both = seen.merged(seen.filters(a, 4).unionByName(seen.filters(b, 4))).collect()
+    whole = seen.filters(arrivals(spark, rows), 4).collect()
+    load = lambda r: seen.QuotientFilter.load(r.bits, r.n, r.quotient_bits, bytes(r.occupied), bytes(r.starts), bytes(r.remainders)).fingerprints().tolist()
+    assert {r.range: load(r) for r in both} == {r.range: load(r) for r in whole}
+    r = seen.filter_sizes(arrivals(spark, rows)).first()
+    assert r.n_keys == len({k for k in (None if n is None else n.strip().removeprefix("@").strip() and n.strip().removeprefix("@") for _, n in rows) if k})
+
+
+def test_answers_come_from_lookups_in_several_filters(monkeypatch):
+    rng = np.random.default_rng(9)
+    h = rng.integers(-(2**63), 2**63, 6000)
+    h[3000:] = h[rng.integers(0, 6000, 3000)]
+    asked, levels = 0, 0
+    real = seen.QuotientFilter.contains
+
+    def counted(self, f):
+        nonlocal asked
+        asked += len(f)
+        return real(self, f)
+
+    monkeypatch.setattr(seen.QuotientFilter, "contains", counted)
+    add = seen.Held.add
+
+    def watched(self, new):
+        nonlocal levels
+        add(self, new)
+        levels = max(levels, len(self.levels))
+
+    monkeypatch.setattr(seen.Held, "add", watched)
+    batch = pa.RecordBatch.from_arrays([pa.array(np.zeros(6000, np.int32)), pa.array(np.arange(6000)), pa.array(h), pa.array(np.ones(6000, np.int32)), pa.nulls(6000)], names=["range", "arrival_no", "h", "state", "filter"])
+    got = [x for b in seen._filter((64,), 0, False)(iter([batch])) for x in b.column(0).to_pylist()]
+    first, want = {}, set()
+    for i, x in enumerate(h.tolist()):
+        if x in first:
+            want.add(i)
+        first.setdefault(x, i)
+    assert set(got) == want and asked > 3000 and levels >= 2
 
 
 def test_seen_empty(spark):
@@ -98,18 +156,28 @@ def test_seen_empty(spark):
     assert seen.error_report(arrivals(spark, [])).collect() == []
 
 
-@pytest.mark.parametrize("bits,quotient_bits", [(64, 16), (40, 8), (24, 10), (33, 4)])
+@pytest.mark.parametrize("bits,quotient_bits", [(64, None), (64, 16), (40, 8), (24, None), (33, 4), (13, None)])
 def test_quotient_filter(bits, quotient_bits):
     rng = np.random.default_rng(bits)
-    f = np.unique(rng.integers(0, 2**63, 5000, dtype=np.int64).astype(np.uint64) >> np.uint64(64 - bits))
+    f = np.unique(rng.integers(0, 2**63, 5000, dtype=np.int64).astype(np.uint64) * np.uint64(2) >> np.uint64(64 - bits))
     q = seen.QuotientFilter(f, bits, quotient_bits)
     assert (q.fingerprints() == f).all() and q.contains(f).all()
-    other = f + np.uint64(1)
+    other = np.concatenate([f + np.uint64(1), f - np.uint64(1), rng.integers(0, 2**62, 5000, dtype=np.int64).astype(np.uint64) >> np.uint64(64 - bits)]) & np.uint64(2**bits - 1)
     assert (q.contains(other) == np.isin(other, f)).all()
+    again = seen.QuotientFilter.load(*q.row())
+    assert (again.contains(other) == np.isin(other, f)).all() and (again.fingerprints() == f).all()
     a, b = seen.QuotientFilter(f[::2], bits, quotient_bits), seen.QuotientFilter(f[1::3], bits, quotient_bits)
-    assert (a.merge(b, bits, quotient_bits).fingerprints() == np.union1d(f[::2], f[1::3])).all()
-    assert q.remainders.shape[1] == -(-(bits - quotient_bits) // 8)
-    assert len(seen.QuotientFilter(f[:0], bits, quotient_bits).fingerprints()) == 0
+    assert (a.merge(b).fingerprints() == np.union1d(f[::2], f[1::3])).all()
+
+
+def test_small_quotient_filters():
+    for held in ([], [5], [0, 2**64 - 1]):
+        q = seen.QuotientFilter(np.array(held, np.uint64))
+        assert q.contains(np.array([0, 5, 6, 2**64 - 1], np.uint64)).tolist() == [x in held for x in (0, 5, 6, 2**64 - 1)]
+        assert q.fingerprints().tolist() == held
+    # memory: the remainder and about four bits of a key
+    f = np.unique(np.random.default_rng(1).integers(0, 2**63, 1 << 16, dtype=np.int64).astype(np.uint64))
+    assert seen.QuotientFilter(f).nbytes / len(f) < 6.6
 
 
 def test_error_rates(spark):
@@ -118,7 +186,7 @@ def test_error_rates(spark):
     assert got[64].wrong == 0 and got[64].n_keys == 9000 and got[64].n_arrivals == 20_000
     d, m = got[16].derived_rate * 20_000, got[16].wrong
     assert abs(d - m) < 5 * math.sqrt(d)  # measured within five standard errors of the derived rate
-    found = set(r.arrival_no for r in seen.seen_before(arrivals(spark, rows), bits=24, quotient_bits=12).collect())
+    found = set(r.arrival_no for r in seen.seen_before(arrivals(spark, rows), (24,)).collect())
     assert brute_seen(rows) <= found and len(found) - len(brute_seen(rows)) == got[24].wrong
 
 
