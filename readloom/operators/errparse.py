@@ -1,34 +1,45 @@
 """Rows that fail to parse, with the reason (problem 4).
 
-Rows whose structure needs no edit are split by built-in functions and checked for valid values.
-All others go through a minimum-cost error parse: dynamic programming over the structural
-characters of the row (quotes, delimiters, line ends; runs of other characters count as one
-symbol, so cost doesn't grow with the length of a field) that may insert or delete quotes and
-delimiters.  The operations of the cheapest parse state the reason: any quote among them means
-``quoting``, else ``columns``.  A quote edit outweighs all delimiter edits of a row, so that quotes
-are edited only where nothing else gives a parse.
+Every row goes once through a minimum-cost parse that may insert or delete quotes and delimiters.  Rows that need no edit are told by
+a pattern that matches just the parses of cost zero; their values are checked, and valid rows load.  For all others dynamic
+programming finds the cheapest edits, which state the reason:
+
+* csv: over the structural characters of the row (quotes, delimiters, line ends; runs of other characters count as one
+  symbol, so cost doesn't grow with the length of a field).  Any quote among the edits means ``quoting``, else ``columns``.  A quote
+  edit outweighs all delimiter edits of a row, so that quotes are edited only where nothing else gives a parse.
+* fastq and sam: fields are aligned with the slots of a record.  Line ends, tabs and line markers are inserted or deleted
+  (``columns``); between alignments of like cost the one wins whose fields suit the types of their slots.
 
 Defined cases: null text and an unknown layout fail with ``columns``; an empty text has one empty
-field and fails likewise; rows delivered again count once, rows without id not at all; an empty table gives no rows; columns
-besides those named are ignored.
+field and fails likewise; rows delivered again count once (of copies that differ, the least valid row loads and the first reason in the
+order of the checks is given), rows without id not at all; an empty table gives no rows; columns besides those named are ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from readloom.session import stripped
+from readloom.session import WHITE
 
 # Letters a base may have, and the longest name.
 BASE_PATTERN = "^[ACGTURYSWKMBDHVNacgturyswkmbdhvn.-]+$"
 MAX_NAME = 256
-_FIELD = r'(?:[^,"\n]*+|"(?:[^"]++|"")*+")'
-_TAG = r"^[A-Za-z][A-Za-z0-9]:[A-Za-z]:.*$"
+#: The reasons in the order of the checks.
+REASONS = ("quoting", "columns", "name", "bases", "quals", "number", "length")
+_FIELD = r'([^,"\n]*+|"(?:[^"]++|"")*+")'
+_CSV = re.compile(f"{_FIELD},{_FIELD},{_FIELD}", re.S)
+_TAG = re.compile(r"[A-Za-z][A-Za-z0-9]:[A-Za-z]:.*")
+_LINE_END = re.compile("\r?\n")
+_BASES, _QUALS, _INTEGER = re.compile(BASE_PATTERN[1:-1]), re.compile("[!-~]+"), re.compile("[-+]?[0-9]+")
+_CIGAR = re.compile(r"\*|(?:[0-9]+[MIDNSHP=X])+")
 QUOTE_COST = 1_000_000
+#: Cost of an edit of a line end, tab or marker; a field that doesn't suit its slot's type costs 1.
+EDIT_COST = 1_000
 
 
 def csv_edits(text: str, n_fields: int = 3) -> tuple[int, int, str]:
@@ -99,98 +110,185 @@ def csv_edits(text: str, n_fields: int = 3) -> tuple[int, int, str]:
     return cost // QUOTE_COST, cost % QUOTE_COST, ";".join(reversed(ops))
 
 
-def line_edits(lines: list[str], markers: tuple[str, ...] = ("@", "", "+", "")) -> tuple[int, str]:
-    """(edits, operations) that align lines with the slots of a record: insert or delete a line end or a marker."""
-    n, m = len(lines), len(markers)
-    rows = [[(j, "insert line end;" * j) for j in range(m + 1)]]
-    for i in range(1, n + 1):
-        row = [(i, "delete line end;" * i)]
-        for j in range(1, m + 1):
-            fits = lines[i - 1].startswith(markers[j - 1])
-            a = rows[i - 1][j - 1]
-            row.append(min((a[0] + (not fits), a[1] + ("" if fits else f"insert {markers[j - 1]}@line {i};")), (rows[i - 1][j][0] + 1, rows[i - 1][j][1] + f"delete line end@line {i};"), (row[j - 1][0] + 1, row[j - 1][1] + "insert line end;"), key=lambda x: x[0]))
-        rows.append(row)
-    return rows[n][m][0], rows[n][m][1].rstrip(";")
-
-
-def _repair(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    import re
-
-    tag = re.compile(_TAG)
-    for pdf in batches:
-        out = []
-        for layout, text in zip(pdf["kind"], pdf["body"]):
-            if not isinstance(text, str):
-                out.append((0, 1, "no text"))
-            elif layout == "csv":
-                out.append(csv_edits(text))
-            elif layout == "fastq":
-                out.append((0, *line_edits(re.split("\r?\n", text))))
-            elif layout == "sam":
-                columns = text.split("\t")
-                odd = sum(not tag.match(c) for c in columns[11:]) + text.count("\n")
-                short = max(0, 11 - len(columns))
-                out.append((0, odd + short, ";".join(["insert delimiter"] * short + ["delete delimiter"] * odd)))
-            else:
-                out.append((0, 1, "unknown layout"))
-        yield pd.DataFrame({"raw_id": pdf["raw_id"], "quote_edits": [o[0] for o in out], "delimiter_edits": [o[1] for o in out], "operations": [o[2] for o in out]})
-
-
-def _unquote(field: Column) -> Column:
-    return F.when(field.startswith('"'), F.regexp_replace(F.substring(field, F.lit(2), F.length(field) - 2), '""', '"')).otherwise(field)
-
-
-def split_rows(raw: DataFrame) -> DataFrame:
-    """``(raw_id, kind, body, fits, name, bases, quals, numbers)``: structure by built-in functions only."""
-    kind = F.lower(F.trim("layout"))
-    # three line ends part four lines, of which the last may be empty; one more ends the last line
-    four = (kind == "fastq") & (F.size(F.split("raw_text", "\r?\n", -1)) == 4)
-    body = F.when(four, F.col("raw_text")).otherwise(F.regexp_replace("raw_text", r"\r?\n\z", ""))
-    df = raw.where("raw_id is not null").select("raw_id", kind.alias("kind"), body.alias("body"))
-    csv = rf"(?s)\A({_FIELD}),({_FIELD}),({_FIELD})\z"
-    fq = F.split("body", "\r?\n")
-    tabs = F.split("body", "\t")
-    at = lambda a, i: F.get(a, F.lit(i))
-    fits = (
-        F.when(F.col("kind") == "csv", F.col("body").rlike(csv))
-        .when(F.col("kind") == "fastq", (F.size(fq) == 4) & at(fq, 0).startswith("@") & at(fq, 2).startswith("+"))
-        .when(F.col("kind") == "sam", (F.size(tabs) >= 11) & ~F.col("body").contains("\n") & F.forall(F.slice(tabs, F.lit(12), F.greatest(F.size(tabs) - 11, F.lit(0))), lambda c: c.rlike(_TAG)))
-    )
-    star = lambda c: F.when(c != "*", c).otherwise("")
-    part = lambda i, f, s: F.when(F.col("kind") == "csv", _unquote(F.regexp_extract("body", csv, i))).when(F.col("kind") == "fastq", f).otherwise(s)
-    df = df.withColumn("fits", F.coalesce(fits, F.lit(False)))
-    whole = F.col("fits")
-    return df.select(
-        "raw_id", "kind", "body", "fits",
-        F.when(whole, part(1, F.substring(at(fq, 0), F.lit(2), F.length(at(fq, 0))), at(tabs, 0))).alias("name"),
-        F.when(whole, part(2, at(fq, 1), star(at(tabs, 9)))).alias("bases"),
-        F.when(whole, part(3, at(fq, 3), star(at(tabs, 10)))).alias("quals"),
-        F.when(whole & (F.col("kind") == "sam"), F.array(*(at(tabs, i) for i in (1, 3, 7, 8)))).alias("numbers"),
-    )
-
-
-def value_reason() -> Column:
-    """The first failing check of a row whose structure fits; null where all hold."""
-    blank = lambda c: F.length(stripped(F.col(c))) == 0
-    return (
-        F.when(blank("name") | (F.length(stripped(F.col("name"))) > MAX_NAME), "name")
-        .when(blank("bases") | ~F.col("bases").rlike(BASE_PATTERN.replace("^", r"\A").replace("$", r"\z")), "bases")
-        .when(blank("quals") | ~F.col("quals").rlike(r"\A[!-~]+\z"), "quals")
-        .when(F.col("numbers").isNotNull() & F.exists("numbers", lambda x: ~x.rlike(r"\A[-+]?[0-9]+\z")), "number")
-        .when(F.length("bases") != F.length("quals"), "length")
-    )
+Slot = tuple[Callable[[str], bool], int, str]
+
+
+def align(fields: list[str], slots: list[Slot], delimiter: str, tail: Slot | None = None) -> tuple[int, str]:
+    """(edits, operations) of the cheapest alignment of fields with the slots of a record.
+
+    A slot is (test, cost of a field that fails it, edit that mends it or nothing).  ``tail`` takes any number of further fields.
+    """
+    wide = len(slots)
+    row: list[tuple[int, tuple]] = [(j * EDIT_COST, ()) for j in range(wide + 1)]
+    for j in range(1, wide + 1):
+        row[j] = (row[j][0], (row[j - 1][1], f"insert {delimiter}@0"))
+    for i, field in enumerate(fields, 1):
+        whole = field.count("\n") * EDIT_COST
+        new = [(row[0][0] + EDIT_COST + whole, (row[0][1], f"delete {delimiter}@{i}"))]
+        for j in range(1, wide + 1):
+            test, cost, mend = slots[j - 1]
+            good = test(field)
+            best, path = row[j][0] + whole + EDIT_COST, (row[j][1], f"delete {delimiter}@{i}")
+            choices = [
+                (row[j - 1][0] + whole + (0 if good else cost), (row[j - 1][1], f"{mend}@{i}") if mend and not good else row[j - 1][1]),
+                (new[j - 1][0] + EDIT_COST, (new[j - 1][1], f"insert {delimiter}@{i}")),
+            ]
+            if j == wide and tail is not None and tail[0](field):
+                choices.append((row[j][0] + whole, row[j][1]))
+            for c in choices:
+                if c[0] < best:
+                    best, path = c
+            new.append((best, path))
+        row = new
+    cost, path = row[-1]
+    ops = []
+    while path:
+        path, op = path
+        ops.append(op)
+    return cost // EDIT_COST, ";".join(reversed(ops))
+
+
+_ANY = (lambda t: True, 0, "")
+
+
+def _type(pattern: re.Pattern) -> Slot:
+    return lambda t: bool(pattern.fullmatch(t)), 1, ""
+
+
+_FASTQ: list[Slot] = [(lambda t: t.startswith("@"), EDIT_COST, "insert @"), _ANY, (lambda t: t.startswith("+"), EDIT_COST, "insert +"), _ANY]
+_SAM: list[Slot] = [_ANY, _type(_INTEGER), _ANY, _type(_INTEGER), _type(re.compile(r"\*|[0-9]+")), _type(_CIGAR), _ANY, _type(_INTEGER), _type(_INTEGER), _type(re.compile(r"\*|" + BASE_PATTERN[1:-1])), _type(_QUALS)]
+_TAIL: Slot = (lambda t: bool(_TAG.fullmatch(t)), 1, "")
+
+
+def line_edits(lines: list[str]) -> tuple[int, str]:
+    """(edits, operations) that align lines with a FASTQ record: insert or delete a line end or a marker."""
+    return align(lines, _FASTQ, "line end")
+
+
+def sam_edits(text: str) -> tuple[int, str]:
+    """(edits, operations) that align the columns of a SAM line: insert or delete a tab; line ends within are deleted."""
+    edits, ops = align(text.split("\t"), _SAM, "tab", _TAIL)
+    within = [f"delete line end@{m.start()}" for m in re.finditer("\n", text)]
+    return edits, ";".join([*([ops] if ops else []), *within])
+
+
+Fields = tuple[str, str, str, tuple[str, ...]]
+
+
+def _unquoted(field: str) -> str:
+    return field[1:-1].replace('""', '"') if field[:1] == '"' else field
+
+
+def _one_end_less(text: str) -> str:
+    return text[: -2 if text.endswith("\r\n") else -1] if text.endswith("\n") else text
+
+
+def fields_of(kind: str | None, text: str) -> Fields | None:
+    """Name, bases, qualities and the numbers of a row that parses at no cost; else nothing."""
+    if kind == "csv":
+        m = _CSV.fullmatch(_one_end_less(text))
+        return (*map(_unquoted, m.groups()), ()) if m else None
+    if kind == "fastq":
+        lines = _fastq_lines(text)
+        return (lines[0][1:], lines[1], lines[3], ()) if len(lines) == 4 and lines[0][:1] == "@" and lines[2][:1] == "+" else None
+    if kind == "sam":
+        body = _one_end_less(text)
+        columns = body.split("\t")
+        if len(columns) < 11 or "\n" in body or not all(map(_TAG.fullmatch, columns[11:])):
+            return None
+        bases, quals = ("" if c == "*" else c for c in columns[9:11])
+        return columns[0], bases, quals, (columns[1], columns[3], columns[7], columns[8])
+    return None
+
+
+def _fastq_lines(text: str) -> list[str]:
+    """Lines of a record: three line ends part four lines, of which the last may be empty; one more ends the last line."""
+    lines = _LINE_END.split(text)
+    return lines[:-1] if len(lines) != 4 and lines[-1] == "" and len(lines) > 1 else lines
+
+
+def edits_of(kind: str | None, text: str | None) -> tuple[int, int, str]:
+    """(quote edits, delimiter edits, operations) of the cheapest parse."""
+    if text is None:
+        return 0, 1, "no text"
+    if kind == "csv":
+        return csv_edits(_one_end_less(text))
+    if kind == "fastq":
+        return 0, *line_edits(_fastq_lines(text))
+    if kind == "sam":
+        return 0, *sam_edits(_one_end_less(text))
+    return 0, 1, "unknown layout"
+
+
+def value_reason(name: str, bases: str, quals: str, numbers: tuple[str, ...]) -> str | None:
+    """The first failing check of a row whose structure fits; nothing where all hold."""
+    if not 0 < len(name.strip(WHITE)) <= MAX_NAME:
+        return "name"
+    if not _BASES.fullmatch(bases):
+        return "bases"
+    if not _QUALS.fullmatch(quals):
+        return "quals"
+    if numbers and not all(map(_INTEGER.fullmatch, numbers)):
+        return "number"
+    return "length" if len(bases) != len(quals) else None
+
+
+_LOADED = "raw_id bigint, name string, bases string, quals string"
+_FAILED = "raw_id bigint, code int, quote_edits bigint, delimiter_edits bigint, operations string"
+
+
+def _parse(loads: bool):
+    """Rows ``(raw_id, layout, text)``: the valid ones with their values, or the others with their edits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for ident, layout, text in zip(*(c.to_pylist() for c in batch.columns)):
+                kind = layout.strip(" ").lower() if layout is not None else None
+                parts = fields_of(kind, text) if text is not None else None
+                if parts is None:
+                    if not loads:
+                        quotes, delimiters, operations = edits_of(kind, text)
+                        out.append((ident, 0 if quotes else 1, quotes, delimiters, operations))
+                    continue
+                reason = value_reason(*parts)
+                if reason is None:
+                    if loads:
+                        out.append((ident, parts[0].strip(WHITE), *parts[1:3]))
+                elif not loads:
+                    out.append((ident, REASONS.index(reason), 0, 0, ""))
+            kinds = (pa.int64(), pa.string(), pa.string(), pa.string()) if loads else (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.string())
+            columns = zip(*out) if out else ((),) * len(kinds)
+            names = ["raw_id", "name", "bases", "quals"] if loads else ["raw_id", "code", "quote_edits", "delimiter_edits", "operations"]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=names)
+
+    return run
+
+
+def _rows(raw: DataFrame, loads: bool) -> DataFrame:
+    return raw.where("raw_id is not null").select("raw_id", "layout", "raw_text").mapInArrow(_parse(loads), _LOADED if loads else _FAILED)
+
+
+def _reason() -> Column:
+    return F.element_at(F.array(*map(F.lit, REASONS)), F.col("code") + 1).alias("reason")
+
+
+def loaded(raw: DataFrame) -> DataFrame:
+    """``(raw_id, name, bases, quals)`` of the valid rows."""
+    return _rows(raw, True).groupBy("raw_id").agg(F.min(F.struct("name", "bases", "quals")).alias("r")).select("raw_id", "r.*")
+
+
+def failed(raw: DataFrame) -> DataFrame:
+    """``(raw_id, reason, quote_edits, delimiter_edits, operations)`` of the rows that fail."""
+    edits = ("quote_edits", "delimiter_edits", "operations")
+    return _rows(raw, False).groupBy("raw_id").agg(F.min(F.struct("code", *edits)).alias("r")).select("raw_id", "r.*").select("raw_id", _reason(), *edits)
 
 
 def error_parse(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """``(loaded, failed)``: valid rows as ``(raw_id, name, bases, quals)``; the others as ``(raw_id, reason, quote_edits, delimiter_edits, operations)``."""
-    rows = split_rows(raw).withColumn("reason", F.when(F.col("fits"), value_reason()))
-    loaded = rows.where(F.col("fits") & F.col("reason").isNull()).select("raw_id", stripped(F.col("name")).alias("name"), "bases", "quals").dropDuplicates(["raw_id"])
-    broken = rows.where(~F.col("fits")).select("raw_id", "kind", "body").mapInPandas(_repair, "raw_id bigint, quote_edits bigint, delimiter_edits bigint, operations string")
-    broken = broken.select("raw_id", F.when(F.col("quote_edits") > 0, "quoting").otherwise("columns").alias("reason"), "quote_edits", "delimiter_edits", "operations")
-    values = rows.where(F.col("reason").isNotNull()).select("raw_id", "reason", F.lit(0).cast("bigint").alias("quote_edits"), F.lit(0).cast("bigint").alias("delimiter_edits"), F.lit("").alias("operations"))
-    return loaded, broken.unionByName(values).dropDuplicates(["raw_id"])
+    """The valid rows and the others, see ``loaded`` and ``failed``."""
+    return loaded(raw), failed(raw)
 
 
 def p4_found(raw: DataFrame) -> DataFrame:
     """``(raw_id, reason)`` of the rows that fail."""
-    return error_parse(raw)[1].select("raw_id", "reason")
+    return _rows(raw, False).groupBy("raw_id").agg(F.min("code").alias("code")).select("raw_id", _reason())

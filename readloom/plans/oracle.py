@@ -222,7 +222,7 @@ vals as (select *, replace(x, '%', '')::double / case when x like '%\%%' escape
 l as (select read_id, sum(case when is_p then case when v > 0 then floor(-10 * log10(v) + 0.5) else 0 end when scale = 'LOGODDS' then floor(10 * log10(pow(10.0::double, v / 10) + 1) + 0.5) else floor(v + 0.5) end) as phred_total from vals group by read_id)
 select read_id, phred_total::bigint as phred_total from (select * from t union all select * from l)"""
 _BLANK = "trim({}, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
-ORACLE["p4_found"] = f"""
+_PARSED = f"""
 with d as (select distinct raw_id, lower(trim(layout)) as kind, raw_text as t from raw_reads),
 b as (select *, case when kind = 'fastq' and len(regexp_split_to_array(t, '\r?\n')) = 4 then t else regexp_replace(t, '\r?\n$', '') end as body from d),
 csv as (select raw_id, kind, body, regexp_matches(body, '^(?:[^,"\n]*|"(?:[^"]|"")*")([,\n](?:[^,"\n]*|"(?:[^"]|"")*"))*$') as quoted, regexp_extract(body, '^([^,"\n]*|"(?:[^"]|"")*"),([^,"\n]*|"(?:[^"]|"")*"),([^,"\n]*|"(?:[^"]|"")*")$', ['a', 'b', 'c']) as f,
@@ -234,7 +234,8 @@ every as (select * from un
   union all select raw_id, 'fastq', true, len(l) = 4 and l[1] like '@%' and l[3] like '+%', l[1][2:], l[2], l[4], null from fq
   union all select raw_id, 'sam', true, len(l) >= 11 and not contains(body, chr(10)) and len(list_filter(l[12:], lambda x: not regexp_matches(x, '^[A-Za-z][A-Za-z0-9]:[A-Za-z]:.*$'))) = 0, l[1], case when l[10] = '*' then '' else l[10] end, case when l[11] = '*' then '' else l[11] end, [l[2], l[4], l[8], l[9]] from sm
   union all select raw_id, kind, true, false, null, null, null, null from b where kind is null or kind not in ('csv', 'fastq', 'sam')),
-j as (select raw_id, case when not coalesce(quoted, true) then 'quoting' when not coalesce(fits, false) then 'columns' when {_BLANK.format('name')} = '' or length({_BLANK.format('name')}) > 256 then 'name'
+j as (select raw_id, name, bases, quals, case when not coalesce(quoted, true) then 'quoting' when not coalesce(fits, false) then 'columns' when {_BLANK.format('name')} = '' or length({_BLANK.format('name')}) > 256 then 'name'
   when {_BLANK.format('bases')} = '' or not regexp_matches(bases, '^[ACGTURYSWKMBDHVNacgturyswkmbdhvn.-]+$') then 'bases' when {_BLANK.format('quals')} = '' or not regexp_matches(quals, '^[!-~]+$') then 'quals'
-  when len(list_filter(nums, lambda x: not regexp_matches(x, '^[-+]?[0-9]+$'))) > 0 then 'number' when length(bases) <> length(quals) then 'length' end as reason from every)
-select raw_id, reason from j where reason is not null"""
+  when len(list_filter(nums, lambda x: not regexp_matches(x, '^[-+]?[0-9]+$'))) > 0 then 'number' when length(bases) <> length(quals) then 'length' end as reason from every)"""
+ORACLE["p4_found"] = _PARSED + "select raw_id, reason from j where reason is not null"
+ORACLE["p4_loaded"] = _PARSED + f"select raw_id, {_BLANK.format('name')} as name, bases, quals from j where reason is null"
