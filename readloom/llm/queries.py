@@ -35,6 +35,12 @@ def p2_distinct_counts(spark: SparkSession, d: str) -> DataFrame:
     return distinct.distinct_counts(table(spark, d, "seq_reads"), table(spark, d, "manifest_files"))
 
 
+@query
+def p2_accuracy(spark: SparkSession, d: str) -> DataFrame:
+    """The estimates against exact counts, by at most one column."""
+    return distinct.accuracy(table(spark, d, "seq_reads"), table(spark, d, "manifest_files"))
+
+
 @query
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return seen.p5_found(table(spark, d, "read_arrivals"))
@@ -66,6 +72,15 @@ def p6_counts(spark: SparkSession, d: str) -> DataFrame:
     return heavy.frequent(table(spark, d, "seq_reads"))
 
 
+_IDENTIFIERS = r"""
+with m as (select file_id, run_accession, upper(trim(center)) as center, platform from manifest_files),
+i as (select sequenced_at::date::varchar as day, s.file_id::varchar as file_id, run_accession, center, platform, regexp_replace(trim(name, ' ' || chr(9) || chr(13) || chr(10)), '^@', '') as n,
+  replace(upper(trim(bases, ' ' || chr(9) || chr(13) || chr(10))), 'U', 'T') as b from seq_reads s left join m on m.file_id = s.file_id)
+"""
+ORACLE["p2_accuracy"] = _IDENTIFIERS + " union all ".join(
+    f"select '{c}' as grouping, {c or 'null::varchar'} as value, count(distinct n) filter (n not in ('', '*')) as exact_names, count(distinct b) filter (b not in ('', '*')) as exact_bases, true as names_within, true as bases_within from i group by all"
+    for c in ("", "day", "center", "platform", "run_accession", "file_id")
+)
 _ARRIVAL_KEYS = r"""
 with t as (select arrival_no, trim(name, chr(32) || chr(9) || chr(13) || chr(10) || chr(160)) as n from read_arrivals),
 k as (select arrival_no, case when n like '@%' then substr(n, 2) else n end as key from t)

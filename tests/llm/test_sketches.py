@@ -217,7 +217,7 @@ def test_distinct_counts(spark):
             if t not in ("", "*"):
                 g[1].add(t)
     got = {(r.grouping, r.day, r.center, r.platform, r.run_accession, r.file_id): r for r in distinct.distinct_counts(df, man).collect()}
-    assert set(got) == {k for k, v in true.items() if v[0] or v[1]}
+    assert set(got) == set(true)
     for k, r in got.items():
         for value, error, exact in ((r.distinct_names, r.names_error, len(true[k][0])), (r.distinct_bases, r.bases_error, len(true[k][1]))):
             assert error <= distinct.TARGET_ERROR
@@ -243,17 +243,28 @@ def test_distinct_every_combination(spark):
 
 def test_distinct_parts_merge_and_sizes(spark):
     df = spark.range(20_000).selectExpr("cast(id % 2 as int) as half", "concat('x', id % 12000) as v")
-    m = distinct.bitmap_bits(20_000)
-    parts = [distinct.partials(df.where(f"half = {h}").selectExpr("1 as g", "v"), ["g"], {"v": "v"}, m) for h in (0, 1)]
-    merged = distinct.union(parts[0].unionByName(parts[1]), ["g"])
-    whole = distinct.partials(df.selectExpr("1 as g", "v"), ["g"], {"v": "v"}, m)
-    a, b = (distinct.estimates(p, ["g"], m).first() for p in (merged, whole))
-    assert a == b and abs(a.estimate - 12_000) < 12_000 * 5 * distinct.TARGET_ERROR
+    lm = distinct.bitmap_bits(20_000).bit_length() - 1
+    made = lambda rows, size: distinct.partials(rows, [("1L", str(size), False)], {"v": "v"})
+    halves = [made(df.where(f"half = {h}"), lm + h).drop("base") for h in (0, 1)]  # unlike sizes fold to the smaller
+    a, b = (distinct.estimates(p).first() for p in (distinct.merged(halves[0].unionByName(halves[1])), made(df, lm)))
+    assert a == b and a.lm == lm and abs(a.estimate - 12_000) < 12_000 * 5 * distinct.TARGET_ERROR
     for n in (1, 100, 10**6, 10**9):
         m = distinct.bitmap_bits(n)
         assert distinct.standard_error(n, m) <= distinct.TARGET_ERROR or n == 1
     assert distinct.bitmap_bits(0) == 64
 
 
+def test_bitmap_sizes_follow_the_groups(spark):
+    ns = [0, 1, 5, 1000, 4300, 17_000, 10**6, 10**9]
+    got = [r[0] for r in spark.createDataFrame([(n,) for n in ns], "n bigint").selectExpr(distinct.log_size_sql("n")).collect()]
+    assert [1 << x for x in got] == [distinct.bitmap_bits(n) for n in ns]
+    rows = [(i, 1 if i < 20_000 else 2, f"n{i}", "A", datetime(2025, 1, 1), None, "k", 1, 1) for i in range(20_100)]
+    man = spark.createDataFrame([(1, "r1", "A", "P", "x", "y"), (2, "r2", "B", "P", "x", "y")], MAN)
+    got = {(r.grouping, r.file_id): r for r in distinct.distinct_counts(spark.createDataFrame(rows, SEQ), man).collect() if r.grouping in ("", "file_id")}
+    assert got["file_id", 2].bitmap_bits == distinct.bitmap_bits(100) < got["file_id", 1].bitmap_bits == distinct.bitmap_bits(20_000)
+    assert abs(got["file_id", 2].distinct_names - 100) <= 5 * 100 * distinct.TARGET_ERROR
+    assert all(r.names_within and r.bases_within for r in distinct.accuracy(spark.createDataFrame(rows, SEQ), man).collect())
+
+
 def test_distinct_empty(spark):
     assert distinct.distinct_counts(spark.createDataFrame([], SEQ), spark.createDataFrame([], MAN)).collect() == []
