@@ -110,6 +110,12 @@ def p7_matches(spark: SparkSession, d: str) -> DataFrame:
     return leaks.phrase_matches(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
 
+@query
+def p7_by_suite(spark: SparkSession, d: str) -> DataFrame:
+    """One index, asked for each suite by itself."""
+    return leaks.by_suite(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
 @query
 def p7_proximity(spark: SparkSession, d: str) -> DataFrame:
     return leaks.proximity_matches(table(spark, d, "documents"), table(spark, d, "eval_items"))
@@ -148,10 +154,25 @@ def _words(column: str) -> str:
     return f"list_filter(regexp_split_to_array(lower(replace({clean}, chr(173), '')), '[^\\pL\\pN]+'), lambda w: w <> '')"
 
 
-ORACLE["p7_found"] = f"""
+_TEXTS = f"""
 with d as (select doc_id, {_words('text')} as w from documents where doc_id is not null and length(text) > 0),
-i as (select item_id, {_words('passage')} as w from eval_items where item_id is not null and length(passage) > 0),
-iw as (select distinct item_id, array_to_string(w[k:k + 12], ' ') as g from (select item_id, w, unnest(range(1, len(w) - 11)) as k from i where len(w) >= 13)),
-dw as (select doc_id, array_to_string(w[k:k + 12], ' ') as g from (select doc_id, w, unnest(range(1, len(w) - 11)) as k from d where len(w) >= 13))
-select distinct doc_id, item_id from dw join iw using (g)
+i as (select item_id, suite, {_words('passage')} as w from eval_items where item_id is not null and length(passage) > 0)"""
+_GRAMS = _TEXTS + """,
+iw as (select distinct item_id, suite, k, array_to_string(w[k:k + 12], ' ') as g from (select item_id, suite, w, unnest(range(1, len(w) - 11)) as k from i where len(w) >= 13)),
+dw as (select doc_id, k, array_to_string(w[k:k + 12], ' ') as g from (select doc_id, w, unnest(range(1, len(w) - 11)) as k from d where len(w) >= 13))
+"""
+ORACLE["p7_found"] = _GRAMS + "select distinct doc_id, item_id from dw join iw using (g)"
+ORACLE["p7_by_suite"] = _GRAMS + "select distinct suite, doc_id, item_id from dw join iw using (g) where suite is not null"
+ORACLE["p7_matches"] = _GRAMS.rstrip() + """,
+m as (select distinct doc_id, item_id, dw.k as dk, iw.k as ik from dw join iw using (g)),
+r as (select *, dk - row_number() over (partition by doc_id, item_id, dk - ik order by dk) as island from m)
+select doc_id, item_id, (min(dk) - 1)::integer as place, (min(ik) - 1)::integer as item_place, count(*) + 12 as length from r group by doc_id, item_id, dk - ik, island
+"""
+ORACLE["p7_proximity"] = _TEXTS + """,
+t as (select item_id, len(w) as span, len(list_distinct(w)) as n, unnest(list_distinct(w)) as term from i where len(w) >= 13),
+o as (select doc_id, unnest(w) as term, unnest(range(len(w))) as place from d),
+held as (select doc_id, item_id, any_value(n) as n, any_value(span) as span from (select distinct doc_id, term from o) join t using (term) group by doc_id, item_id having count(*) >= 0.8 * any_value(n) - 1e-9),
+pl as (select h.doc_id, h.item_id, h.n, h.span, o.term, o.place from held h join t using (item_id) join o on o.doc_id = h.doc_id and o.term = t.term),
+s as (select a.doc_id, a.item_id, a.place, any_value(a.n) as n, count(distinct b.term) as c from (select distinct doc_id, item_id, n, span, place from pl) a join pl b on a.doc_id = b.doc_id and a.item_id = b.item_id and b.place between a.place and a.place + a.span - 1 group by all)
+select doc_id, item_id, max(c / n::double) as share from s group by doc_id, item_id having max(c / n::double) >= 0.8
 """

@@ -59,6 +59,37 @@ def test_leaks_against_brute_force(spark, block):
     assert len(pairs) == len(set(pairs)) and set(pairs) == got
 
 
+@pytest.mark.parametrize("words,texts", [(1, 1), (50, 3), (1 << 19, 2)])
+def test_one_index_answers_several_query_sets(spark, tmp_path, words, texts):
+    rng = random.Random(5)
+    w = [f"v{i}" for i in range(12)]
+    its = [(k, " ".join(rng.choice(w) for _ in range(30))) for k in range(6)]
+    d = [{"doc_id": 7 * k, "text": " ".join(rng.choice(w) for _ in range(20)) + " " + " ".join(its[k % 6][1].split()[k % 9 : k % 9 + 10 + k % 7]) + " end"} for k in range(40)]
+    leaks.build_index(docs(spark, d[:25]), words, texts).write.parquet(f"{tmp_path}/index")
+    leaks.build_index(docs(spark, d[25:]), words, texts).write.mode("append").parquet(f"{tmp_path}/index")
+    index = leaks.read_index(spark, f"{tmp_path}/index")
+    for some in (its[:2], its[2:], its):
+        got = [(r.doc_id, r.item_id, r.place, r.item_place, r.length) for r in leaks.find_phrases(index, items(spark, some)).collect()]
+        assert {g[:2] for g in got} == brute_leaks(d, some)
+        text, passage = {r["doc_id"]: words_of(r["text"]) for r in d}, {i: words_of(p) for i, p in some}
+        for doc, item, place, at, n in got:
+            assert text[doc][place : place + n] == passage[item][at : at + n] and n >= 13
+            assert at == 0 or place == 0 or text[doc][place - 1] != passage[item][at - 1]
+        near = {(r.doc_id, r.item_id): r.share for r in leaks.find_near(index, items(spark, some)).collect()}
+        assert near == brute_shares(d, some)
+
+
+def test_every_word_of_every_text_is_indexed(spark):
+    d = [{"doc_id": 1, "text": "b a b"}, {"doc_id": 2, "text": None}, {"doc_id": 3, "text": "a <p>"}, {"doc_id": 4, "text": "<p>"}]
+    found = {}
+    for row in leaks.build_index(docs(spark, d)).collect():
+        seg = leaks.Segment(row.asDict(), {"a", "b"})
+        for t in ("a", "b"):
+            for x in seg.postings(t).tolist():
+                found.setdefault(t, set()).add((int(seg.docs[x >> 34]), x & (1 << 34) - 1))
+    assert found == {"a": {(1, 1), (3, 0)}, "b": {(1, 0), (1, 2)}}
+
+
 def test_leaks_empty(spark):
     none_d, none_i = docs(spark, []), items(spark, [])
     assert leaks.p7_found(none_d, items(spark, [(1, PASSAGE)])).collect() == []
