@@ -1,17 +1,19 @@
 """Near-duplicate sequences by multiple-global-order prefix filtering (problem 1).
 
 Two sequences are alike when at least ``threshold`` of the letters of each lie in stretches of
-``k`` or more letters that also occur in the other.  Tokens are the k-letter substrings.
+``k`` or more letters that also occur in the other.  Of every k letters one token is taken: that with the least hash among the ``window``
+substrings of ``k - window + 1`` letters (a minimiser).  It depends on those k letters only, so a stretch of k or more letters that two
+texts share gives both the same tokens.
 
-No link is lost, by this bound: an alike sequence of length L has ``threshold * L`` letters in
-shared tokens, and a token covers at most k of them at each of its places.  Tokens held by more
-than ``hot`` texts ("hot": adapters, low complexity) propose nothing; what they cover is taken off
+No link is lost, by this bound: an alike sequence of length L has ``threshold * L`` letters in shared stretches; each lies within k
+letters whose token is shared, so a shared token accounts for at most ``k + window - 1`` letters around each of its places.  Tokens held
+by more than ``hot`` texts ("hot": adapters, low complexity) propose nothing; the letters they may account for are taken off
 the need.  With n sharable tokens of which at least o must be shared, any global token order puts
 a shared token among the first n - o + 1 of either text.  Three orders are used (rarity, and two
 hashes); the tokens of a text that are in none of its prefixes are not indexed.  A pair becomes a
 candidate only if it shares a prefix token under *every* order and, among the indexed tokens, as many as
-either needs, less those that either of the two left out; then it is verified letter for letter.  Texts that hot tokens alone cover to the threshold are
-compared among themselves over their hot tokens by the same filter, so the cut loses nothing.
+either needs, less those that either of the two left out; then it is verified letter for letter.  Texts that hot tokens alone may cover to
+the threshold are compared among themselves over their hot tokens by the same filter, so the cut loses nothing.
 
 Exact copies are one class: the work is done once per text.  Pairs of copies are written out for
 classes up to ``expand`` members; of a larger class each member is paired with its representative
@@ -25,6 +27,7 @@ once; an empty table gives no rows; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -35,6 +38,8 @@ from pyspark.sql import functions as F
 from readloom.session import materialise, stripped
 
 K, THRESHOLD, HOT, EXPAND = 16, 0.8, 256, 32
+#: Substrings of which one is a token: a wider window gives fewer tokens, but shorter ones, which more unlike texts share.
+WINDOW = 3
 
 
 def sequences(records: DataFrame, k: int = K) -> DataFrame:
@@ -63,10 +68,31 @@ SLICE = 1000
 
 #: Kinds of posting rows: of a token not known to be hot, of one known to be, and the mark that a token is.
 PLAIN, KNOWN, MARK = 0, 1, 2
+#: How a row's ``at`` tells its kind: ``_KNOWN`` is added, a mark has -1.
+_KNOWN = 1 << 62
+#: Tokens whose numbers a partition remembers; the rarer half is forgotten beyond, which makes it find hot ones later.
+REMEMBERED = 1 << 18
 
 
-def _explode(k: int, hot: int):
-    """Postings ``(token, id, at, kind)`` of texts; ``at`` holds place and size.
+def minimisers(codes: np.ndarray, first: np.ndarray, n: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """``(owner, place)`` of the tokens taken: in each text, of every ``window`` consecutive codes the least (the first of equals).
+
+    ``first``: where each text begins in ``codes``; ``n``: its number of windows.
+    """
+    owner = np.repeat(np.arange(len(n)), n)
+    begin = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    at = first[owner] + begin
+    least, chosen = codes[at], begin.copy()
+    for j in range(1, window):
+        other = codes[at + j]
+        less = other < least
+        least, chosen = np.where(less, other, least), np.where(less, begin + j, chosen)
+    new = np.concatenate([[True], (chosen[1:] != chosen[:-1]) | (owner[1:] != owner[:-1])]) if len(chosen) else np.zeros(0, bool)
+    return owner[new], chosen[new]
+
+
+def _explode(k: int, window: int, hot: int):
+    """Postings ``(token, id, at)`` of texts; ``at`` holds kind, place and size.
 
     A token that passes ``hot`` rows within a partition is known to be hot from then on: its further rows need not meet at
     the token, only one mark per partition does.  So a token held by a third of all texts sends no more than about
@@ -79,11 +105,9 @@ def _explode(k: int, hot: int):
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             texts = [t.encode("latin-1", "replace") for t in batch.column(1).to_pylist()]  # a byte per letter
             sizes = np.array([len(t) for t in texts], np.int64)
-            codes = kmer_codes(np.frombuffer(b"".join(texts), np.uint8), k)
-            starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-            n = sizes - k + 1
-            owner = np.repeat(np.arange(len(ids)), n)
-            place = np.arange(int(n.sum())) - np.repeat(np.concatenate([[0], np.cumsum(n)[:-1]]), n)
+            codes = kmer_codes(np.frombuffer(b"".join(texts), np.uint8), k - window + 1)
+            starts = np.cumsum(sizes) - sizes
+            owner, place = minimisers(codes, starts, sizes - k + 1, window)
             token = codes[starts[owner] + place]
             known = np.fromiter((t for t, c in seen.items() if c > hot), np.int64)
             tokens, counts = np.unique(token, return_counts=True)
@@ -93,11 +117,14 @@ def _explode(k: int, hot: int):
                 seen[t] = before + c
                 if before <= hot < before + c:
                     fresh.append(t)
-            kind = np.where(np.isin(token, known), KNOWN, PLAIN).astype(np.int8) if len(known) else np.zeros(len(token), np.int8)
+            if len(seen) > REMEMBERED:
+                seen = dict(sorted(seen.items(), key=lambda x: -x[1])[: REMEMBERED // 2])
+            at = (place << 32) | sizes[owner]
+            if len(known):
+                at |= np.where(np.isin(token, known), _KNOWN, 0)
             marks = np.array(fresh, np.int64)
             cat = lambda x, y: pa.array(np.concatenate([x, np.full(len(marks), y, x.dtype)]))
-            at = (place << 32) | sizes[owner]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([token, marks])), cat(ids[owner], 0), cat(at, 0), cat(kind, MARK)], names=["token", "id", "at", "kind"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([token, marks])), cat(ids[owner], 0), cat(at, -1)], names=["token", "id", "at"])
 
     return run
 
@@ -110,6 +137,7 @@ def _shared(hot: int):
         flood = None  # a hot token whose rows still come
 
         def out(token, ident, at, df):
+            at = at & (_KNOWN - 1)
             return pa.RecordBatch.from_arrays([pa.array(token), pa.array(ident), pa.array((at >> 32).astype(np.int32)), pa.array((at & 0xFFFFFFFF).astype(np.int32)), pa.array(df.astype(np.int64))], names=["token", "id", "place", "size", "df"])
 
         def settle(token, ident, at, kind):
@@ -119,13 +147,15 @@ def _shared(hot: int):
             first = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
             length = np.diff(np.append(first, len(token)))
             count = np.add.reduceat((kind != MARK).astype(np.int64), first)
-            count = np.where(kind[first] != PLAIN, hot + 1, np.minimum(count, hot + 1))
+            count = np.where(np.maximum.reduceat(kind, first) != PLAIN, hot + 1, np.minimum(count, hot + 1))
             df = np.repeat(count, length)
             keep = (df > 1) & (kind != MARK)
             return out(token[keep], ident[keep], at[keep], df[keep])
 
         for batch in batches:
-            rows = [np.concatenate([h, c.to_numpy(zero_copy_only=False)]) for h, c in zip(held, batch.columns)]
+            fresh = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+            kinds = np.where(fresh[2] < 0, MARK, np.where(fresh[2] >= _KNOWN, KNOWN, PLAIN)).astype(np.int8)
+            rows = [np.concatenate([h, c]) for h, c in zip(held, [*fresh, kinds])]
             if flood is not None:
                 n = int(np.searchsorted(rows[0], flood, "right"))
                 keep = rows[3][:n] != MARK
@@ -156,7 +186,7 @@ def _mix(tokens: np.ndarray, seed: int) -> np.ndarray:
     return x * np.uint64(0x94D049BB133111EB)
 
 
-def _prefixes(k: int, threshold: float, hot: int, hot_only: bool):
+def _prefixes(k: int, window: int, threshold: float, hot: int, hot_only: bool):
     """Per text: which of its tokens lie in a prefix, as bits; how many a partner must share (``o``); how many lie in none (``left``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,7 +200,8 @@ def _prefixes(k: int, threshold: float, hot: int, hot_only: bool):
                 need = threshold * size - 1e-9
                 is_hot = df > hot
                 at = np.sort(place[is_hot])
-                covered = int(np.minimum(k, np.diff(at, append=at[-1] + k)).sum()) if len(at) else 0
+                low, high = np.maximum(at - window + 1, 0), np.minimum(at + k, size)
+                covered = int((np.minimum(high, np.append(low[1:], size)) - low).sum()) if len(at) else 0
                 if hot_only:
                     if covered < need:
                         continue
@@ -182,7 +213,7 @@ def _prefixes(k: int, threshold: float, hot: int, hot_only: bool):
                 token, first, times = np.unique(token, return_index=True, return_counts=True)
                 if not len(token):
                     continue
-                reach = np.cumsum(np.sort(times)[::-1] * k)
+                reach = np.cumsum(np.sort(times)[::-1] * (k + window - 1))
                 if reach[-1] < need:
                     continue
                 o = int(np.searchsorted(reach, need)) + 1
@@ -199,9 +230,14 @@ def _prefixes(k: int, threshold: float, hot: int, hot_only: bool):
     return run
 
 
+@lru_cache(maxsize=1 << 12)
+def _stretches(text: str, k: int) -> frozenset[str]:
+    return frozenset(text[i : i + k] for i in range(len(text) - k + 1))
+
+
 def coverage(a: str, b: str, k: int = K) -> float:
     """Share of the letters of ``a`` in stretches of k or more that occur in ``b``."""
-    held = {b[i : i + k] for i in range(len(b) - k + 1)}
+    held = _stretches(b, k)
     covered = last = 0
     for i in range(len(a) - k + 1):
         if a[i : i + k] in held:
@@ -210,17 +246,17 @@ def coverage(a: str, b: str, k: int = K) -> float:
     return covered / len(a)
 
 
-def alike_texts(texts: DataFrame, k: int = K, threshold: float = THRESHOLD, hot: int = HOT) -> DataFrame:
+def alike_texts(texts: DataFrame, k: int = K, threshold: float = THRESHOLD, hot: int = HOT, window: int = WINDOW) -> DataFrame:
     """``(a, b)``, a < b: alike pairs among ``(id, text)`` with distinct texts."""
-    postings = texts.select("id", "text").mapInArrow(_explode(k, hot), "token bigint, id bigint, at bigint, kind tinyint")
-    # rows meet at their token, but those of tokens known to be hot anywhere
-    met = postings.repartition(F.when(F.col("kind") == KNOWN, F.xxhash64("id", "at")).otherwise(F.col("token"))).sortWithinPartitions("token", F.desc("kind"))
+    postings = texts.select("id", "text").mapInArrow(_explode(k, window, hot), "token bigint, id bigint, at bigint")
+    # rows meet at their token, but those of tokens known to be hot anywhere; marks come first
+    met = postings.repartition(F.when(F.col("at") >= _KNOWN, F.xxhash64("id", "at")).otherwise(F.col("token"))).sortWithinPartitions("token", "at")
     counted = met.mapInArrow(_shared(hot), "token bigint, id bigint, place int, size int, df bigint")
     shared = counted.groupBy("id", "size").agg(F.collect_list(F.struct("token", "place", "df")).alias("items"))
     shared = materialise(shared, "p1-tokens")
     pairs = None
     for hot_only in (False, True):
-        index = shared.mapInArrow(_prefixes(k, threshold, hot, hot_only), "id bigint, token bigint, bits int, o int, left int")
+        index = shared.mapInArrow(_prefixes(k, window, threshold, hot, hot_only), "id bigint, token bigint, bits int, o int, left int")
         a, b = (index.select("token", *(F.col(c).alias(t) for c, t in (("id", x), ("bits", f"bits_{x}"), ("o", f"o_{x}"), ("left", f"left_{x}")))) for x in "ab")
         # of the tokens shared, only those that neither of the two left out are met
         need = F.greatest("o_a", "o_b") - F.col("left_a") - F.col("left_b")

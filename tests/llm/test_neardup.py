@@ -110,19 +110,20 @@ def test_runs_over_batches():
         hot, rows = rng.choice([2, 5]), []
         for t in range(rng.randint(1, 12)):
             kinds = [N.PLAIN] * rng.choice([1, 1, 2, 3, hot, hot + 1, hot + 2, 20]) + [N.KNOWN] * rng.choice([0, 0, 0, 3]) + [N.MARK] * rng.choice([0, 0, 0, 1])
-            rows += [(t, rng.randrange(1000), (i << 32) | 50, k) for i, k in enumerate(sorted(kinds, reverse=True))]
+            mine = [(t, rng.randrange(1000), -1 if k == N.MARK else (i << 32) | 50 | (N._KNOWN if k == N.KNOWN else 0), k) for i, k in enumerate(kinds)]
+            rows += sorted(mine, key=lambda r: r[2])
         want = []
         for t in {r[0] for r in rows}:
             own = [r for r in rows if r[0] == t]
             real = [r for r in own if r[3] != N.MARK]
             is_hot = any(r[3] for r in own) or len(real) > hot
             if is_hot or len(real) > 1:
-                want += [(t, r[1], r[2] >> 32, 50, hot + 1 if is_hot else len(real)) for r in real]
+                want += [(t, r[1], (r[2] & (N._KNOWN - 1)) >> 32, 50, hot + 1 if is_hot else len(real)) for r in real]
         cuts = sorted(rng.sample(range(1, len(rows)), min(len(rows) - 1, rng.randint(0, 8)))) if len(rows) > 1 else []
         batches = []
         for a, b in zip([0, *cuts], [*cuts, len(rows)]):
             c = list(zip(*rows[a:b]))
-            batches.append(pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.int64()), pa.array(c[3], pa.int8())], names=["token", "id", "at", "kind"]))
+            batches.append(pa.RecordBatch.from_arrays([pa.array(c[0], pa.int64()), pa.array(c[1], pa.int64()), pa.array(c[2], pa.int64())], names=["token", "id", "at"]))
         got = [tuple(x.values()) for o in N._shared(hot)(iter(batches)) for x in o.to_pylist()]
         assert sorted(got) == sorted(want)
 
@@ -135,12 +136,46 @@ def test_known_hot_tokens_are_marked(monkeypatch):
 
     monkeypatch.setattr(N, "SLICE", 10)
     batch = pa.RecordBatch.from_arrays([pa.array(range(60), pa.int64()), pa.array(["ACGTACGTACGTACGT"] * 60)], names=["id", "text"])
-    rows = [x for o in N._explode(16, 25)(iter([batch])) for x in o.to_pylist()]
-    kinds = [r["kind"] for r in rows]
+    rows = [x for o in N._explode(16, 1, 25)(iter([batch])) for x in o.to_pylist()]
+    kinds = [N.MARK if r["at"] < 0 else N.KNOWN if r["at"] >= N._KNOWN else N.PLAIN for r in rows]
     assert len({r["token"] for r in rows}) == 1
     assert (kinds.count(N.MARK), kinds.count(N.PLAIN), kinds.count(N.KNOWN)) == (1, 30, 30)
 
 
+@pytest.mark.parametrize("window", [1, 2, 3, 7])
+def test_shared_stretches_share_minimisers(window):
+    """Every 16 letters that two texts share give both the same token, wherever they stand; none reaches over a text's end."""
+    import numpy as np
+
+    from readloom.llm import neardup as N
+
+    rng = random.Random(window)
+    core = seq(rng, 40)
+    texts = [core, seq(rng, 17) + core + seq(rng, 5), seq(rng, 16), "A" * 30, core[3:19], seq(rng, 3) + core[10:30]]
+    sizes = np.array([len(t) for t in texts])
+    codes = N.kmer_codes(np.frombuffer("".join(texts).encode(), np.uint8), 17 - window)
+    owner, place = N.minimisers(codes, np.cumsum(sizes) - sizes, sizes - 15, window)
+    token = [texts[o][p : p + 17 - window] for o, p in zip(owner.tolist(), place.tolist())]
+    assert all(len(t) == 17 - window for t in token)
+    of = [{p: t for o, p, t in zip(owner.tolist(), place.tolist(), token) if o == i} for i in range(len(texts))]
+    taken = lambda i, begin: {p - begin for p in of[i] if begin <= p < begin + window}
+    for k in range(25):
+        windows = [(i, t.find(core[k : k + 16])) for i, t in enumerate(texts)]
+        sets = [taken(i, at) for i, at in windows if at >= 0]
+        assert set.intersection(*sets)
+    assert window == 1 or len(of[1]) < len(texts[1]) - 15
+
+
+@pytest.mark.parametrize("window", [1, 5])
+def test_other_windows(spark, rows, window):
+    from readloom.llm.neardup import alike_texts, sequences
+
+    texts = sequences(frame(spark, rows)).groupBy("text").agg({"id": "min"}).withColumnRenamed("min(id)", "id")
+    held = {r.id for r in texts.collect()}
+    got = {tuple(r) for r in alike_texts(texts, hot=4, window=window).collect()}
+    assert got == {p for p in brute(rows) if set(p) <= held}
+
+
 @pytest.mark.parametrize("n, every", [(84, 17), (150, 17)])
 def test_tokens_left_out_by_the_partner(spark, n, every):
     rng = random.Random(3)
