@@ -186,8 +186,24 @@ def _mix(tokens: np.ndarray, seed: int) -> np.ndarray:
     return x * np.uint64(0x94D049BB133111EB)
 
 
-def _prefixes(k: int, window: int, threshold: float, hot: int, hot_only: bool):
-    """Per text: which of its tokens lie in a prefix, as bits; how many a partner must share (``o``); how many lie in none (``left``)."""
+#: The two comparisons: over rare tokens, and over all tokens of the texts that hot tokens may cover to the threshold.
+RARE, COVERED = 0, 1
+
+
+def _prefixes(k: int, window: int, threshold: float, hot: int):
+    """Per text and comparison: which of its tokens lie in a prefix, as bits; how many a partner must share (``o``); how many lie in none (``left``)."""
+
+    def kept(token: np.ndarray, df: np.ndarray, need: float) -> tuple | None:
+        token, first, times = np.unique(token, return_index=True, return_counts=True)
+        reach = np.cumsum(np.sort(times)[::-1] * (k + window - 1))
+        if not len(token) or reach[-1] < need:
+            return None
+        o = int(np.searchsorted(reach, need)) + 1
+        length, bits = len(token) - o + 1, np.zeros(len(token), np.int32)
+        for b, order in enumerate((np.lexsort((token, df[first])), np.argsort(_mix(token, 0xD6E8FEB86659FD93)), np.argsort(_mix(token, 0xA0761D6478BD642F)))):
+            bits[order[:length]] |= 1 << b
+        some = bits > 0
+        return token[some], bits[some], o, int((~some).sum())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (b.slice(i, SLICE) for b in batches for i in range(0, b.num_rows, SLICE)):
@@ -196,51 +212,39 @@ def _prefixes(k: int, window: int, threshold: float, hot: int, hot_only: bool):
             ends = np.concatenate([[0], np.cumsum(batch.column(2).value_lengths().to_numpy())])
             tokens, places, dfs = (c.to_numpy() for c in batch.column(2).flatten().flatten())
             for ident, size, lo, hi in zip(ids, sizes, ends, ends[1:]):
-                token, place, df = tokens[lo:hi], places[lo:hi].astype(np.int64), dfs[lo:hi]
-                need = threshold * size - 1e-9
-                is_hot = df > hot
-                at = np.sort(place[is_hot])
-                low, high = np.maximum(at - window + 1, 0), np.minimum(at + k, size)
-                covered = int((np.minimum(high, np.append(low[1:], size)) - low).sum()) if len(at) else 0
-                if hot_only:
-                    if covered < need:
-                        continue
-                elif covered < need:
-                    need -= covered
-                    token, df = token[~is_hot], df[~is_hot]
-                else:  # both partners of a pair without common rare tokens are such texts; rare tokens all count
-                    need, token, df = 0.5, token[~is_hot], df[~is_hot]
-                token, first, times = np.unique(token, return_index=True, return_counts=True)
-                if not len(token):
-                    continue
-                reach = np.cumsum(np.sort(times)[::-1] * (k + window - 1))
-                if reach[-1] < need:
-                    continue
-                o = int(np.searchsorted(reach, need)) + 1
-                length, bits = len(token) - o + 1, np.zeros(len(token), np.int32)
-                orders = (np.lexsort((token, df[first])), np.argsort(_mix(token, 0xD6E8FEB86659FD93)), np.argsort(_mix(token, 0xA0761D6478BD642F)))
-                for b, order in enumerate(orders):
-                    bits[order[:length]] |= 1 << b
-                kept = bits > 0
-                n = int(kept.sum())
-                out.append((np.full(n, ident), token[kept], bits[kept], np.full(n, o, np.int32), np.full(n, len(token) - n, np.int32)))
-            cols = [np.concatenate([o[i] for o in out]) if out else np.zeros(0, t) for i, t in enumerate((np.int64, np.int64, np.int32, np.int32, np.int32))]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["id", "token", "bits", "o", "left"])
+                token, df = tokens[lo:hi], dfs[lo:hi]
+                need, is_hot, covered = threshold * size - 1e-9, df > hot, 0
+                if is_hot.any():
+                    at = np.sort(places[lo:hi][is_hot].astype(np.int64))
+                    low, high = np.maximum(at - window + 1, 0), np.minimum(at + k, size)
+                    covered = int((np.minimum(high, np.append(low[1:], size)) - low).sum())
+                # of two covered texts that share no rare token hot ones tell; else any rare token may
+                found = [(RARE, kept(token[~is_hot], df[~is_hot], need - covered if covered < need else 0.5))]
+                if covered >= need:
+                    found.append((COVERED, kept(token, df, need)))
+                for comparison, x in found:
+                    if x is not None:
+                        n = len(x[0])
+                        out.append((np.full(n, ident), np.full(n, comparison, np.int8), x[0], x[1].astype(np.int8), np.full(n, x[2], np.int32), np.full(n, x[3], np.int32)))
+            cols = [np.concatenate([o[i] for o in out]) if out else np.zeros(0, t) for i, t in enumerate((np.int64, np.int8, np.int64, np.int8, np.int32, np.int32))]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["id", "comparison", "token", "bits", "o", "left"])
 
     return run
 
 
 @lru_cache(maxsize=1 << 12)
-def _stretches(text: str, k: int) -> frozenset[str]:
-    return frozenset(text[i : i + k] for i in range(len(text) - k + 1))
+def _substrings(text: str, k: int) -> tuple[list[str], frozenset[str]]:
+    """All substrings of k letters, by place and as a set; a text of many pairs is taken apart once."""
+    found = [text[i : i + k] for i in range(len(text) - k + 1)]
+    return found, frozenset(found)
 
 
 def coverage(a: str, b: str, k: int = K) -> float:
     """Share of the letters of ``a`` in stretches of k or more that occur in ``b``."""
-    held = _stretches(b, k)
+    held = _substrings(b, k)[1]
     covered = last = 0
-    for i in range(len(a) - k + 1):
-        if a[i : i + k] in held:
+    for i, x in enumerate(_substrings(a, k)[0]):
+        if x in held:
             covered += min(k, i + k - last)
             last = i + k
     return covered / len(a)
@@ -254,17 +258,12 @@ def alike_texts(texts: DataFrame, k: int = K, threshold: float = THRESHOLD, hot:
     counted = met.mapInArrow(_shared(hot), "token bigint, id bigint, place int, size int, df bigint")
     shared = counted.groupBy("id", "size").agg(F.collect_list(F.struct("token", "place", "df")).alias("items"))
     shared = materialise(shared, "p1-tokens")
-    pairs = None
-    for hot_only in (False, True):
-        index = shared.mapInArrow(_prefixes(k, window, threshold, hot, hot_only), "id bigint, token bigint, bits int, o int, left int")
-        a, b = (index.select("token", *(F.col(c).alias(t) for c, t in (("id", x), ("bits", f"bits_{x}"), ("o", f"o_{x}"), ("left", f"left_{x}")))) for x in "ab")
-        # of the tokens shared, only those that neither of the two left out are met
-        need = F.greatest("o_a", "o_b") - F.col("left_a") - F.col("left_b")
-        both = a.join(b, "token").where("a < b").groupBy("a", "b").agg(
-            F.bit_or(F.col("bits_a").bitwiseAND(F.col("bits_b"))).alias("bits"), F.count("*").alias("n"), F.max(need).alias("need")
-        ).where("bits = 7 and n >= need").select("a", "b")
-        pairs = both if pairs is None else pairs.unionByName(both)
-    pairs = pairs.distinct()
+    index = shared.mapInArrow(_prefixes(k, window, threshold, hot), "id bigint, comparison tinyint, token bigint, bits tinyint, o int, left int")
+    a, b = (index.select("token", "comparison", *(F.col(c).alias(f"{c}_{x}" if c != "id" else x) for c in ("id", "bits", "o", "left"))) for x in "ab")
+    # of the tokens shared, only those that neither of the two left out are met
+    need = F.greatest("o_a", "o_b") - F.col("left_a") - F.col("left_b")
+    met = a.join(b, ["token", "comparison"]).where("a < b").groupBy("a", "b", "comparison").agg(F.bit_or(F.col("bits_a").bitwiseAND(F.col("bits_b"))).alias("bits"), F.count("*").alias("n"), F.max(need).alias("need"))
+    pairs = met.where("bits = 7 and n >= need").select("a", "b").distinct()
 
     @F.pandas_udf("boolean")
     def verified(x: pd.Series, y: pd.Series) -> pd.Series:
