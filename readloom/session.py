@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import sys
 import tempfile
 import uuid
 
@@ -24,21 +26,48 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_made: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, from ``spark.checkpoint.dir``.
 
-    Only where the setting is absent (single-machine tests) a temporary folder is made.
+    Only where the setting is absent and everything runs on this machine a temporary folder is made; on a cluster its absence is an error.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.conf.get("spark.master", "")
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         found = "file://" + os.path.join(tempfile.gettempdir(), "readloom-shared")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
 def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors."""
+    """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors.
+
+    What is written is removed by ``clean``, at the latest when the driver ends.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/readloom-{label}-{uuid.uuid4().hex}"
+    if not _made:
+        atexit.register(clean, spark)
+    _made.append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def clean(spark: SparkSession) -> int:
+    """Remove all tables that ``materialise`` wrote in this process; gives their number.  Frames that read them can't be used any more."""
+    n = 0
+    try:
+        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+        while _made:
+            path = jvm.org.apache.hadoop.fs.Path(_made[-1])
+            n += bool(path.getFileSystem(conf).delete(path, True))
+            _made.pop()
+    except Exception:  # the JVM is gone, or the folder; nothing is left to be done from here
+        if not sys.is_finalizing() and getattr(spark, "_jsc", None) is not None and spark._jsc.sc().isStopped() is False:
+            raise
+    return n
