@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from readloom.functions import quality
 from readloom.operators import convert, normalise, pairing, sampler, stats, validate
-from readloom.sources import fastq, manifest, sam
+from readloom.sources import fastq, files, manifest, sam
 from readloom.sources.bam import write_bam
 
 
@@ -35,9 +35,9 @@ def run_validate(spark: SparkSession, rows: list[dict], base: str | None = None,
         reads = _normalised(spark, listed, lenient=False).withColumn("file_id", F.col("file_no").cast("bigint"))
     else:
         records = sam.read_reads(spark, listed, kind)
-        index = spark.createDataFrame([(p, i) for i, p in enumerate(listed, 1)], "file string, file_id bigint")
+        index = spark.createDataFrame([(p, i) for i, given in enumerate(listed, 1) for p in files.list_files([given])], "file string, file_id bigint")
         reads = records.join(F.broadcast(index), "file").select("file_id", F.col("record_no").alias("read_no"), F.col("qname").alias("name"), "bases", "quals")  # a row per file
-        return validate.insdc_report(reads, is_sam=True)
+        return validate.validate(reads, m.withColumn("quick", F.lit(quick)), is_sam=True)
     return validate.validate(reads, m.withColumn("quick", F.lit(quick)))
 
 

@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from readloom.functions import names
 from readloom.session import materialise
 
+#: Records of a name that are counted in one task.
+STRETCH = 100_000
 READ = "struct<number: int, file_no: int, read_no: bigint, name: string, bases: string, quals: string>"
 
 
@@ -84,11 +86,16 @@ def unexpected_numbers(reads: DataFrame, by: tuple[str, ...] = (), on_bad_name:
 def pair_by_name(records: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Pair records of equal ``qname`` in order of ``record_no``: first and second, third and fourth, and so on.
 
-    Adds ``pair_no`` (within the name) and ``slot`` (1, 2; 0 where a record stays alone).
+    Adds ``pair_no`` (within the name) and ``slot`` (1, 2; 0 where a record stays alone).  Records are counted within
+    stretches of ``record_no`` first, so that a name that fills a file (``*``, say) isn't sorted in one task.
     """
-    place = F.row_number().over(Window.partitionBy(*by, "qname").orderBy("record_no"))
-    of = F.count("*").over(Window.partitionBy(*by, "qname"))
-    rows = records.withColumn("_place", place).withColumn("_of", of)
+    keyed = records.withColumn("_name", F.coalesce("qname", F.lit("\0"))).withColumn("_part", F.floor(F.col("record_no") / STRETCH))
+    name = [*by, "_name"]
+    sizes = keyed.groupBy(*name, "_part").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(*name).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = sizes.select(*name, "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), F.sum("_n").over(Window.partitionBy(*name)).alias("_of"))
+    place = F.row_number().over(Window.partitionBy(*name, "_part").orderBy("record_no"))
+    rows = keyed.withColumn("_at", place).join(sizes, [*name, "_part"]).withColumn("_place", F.col("_at") + F.col("_before")).drop("_name", "_part", "_at", "_before")
     slot = F.when((F.col("_place") == F.col("_of")) & (F.col("_of") % 2 == 1), 0).otherwise((F.col("_place") - 1) % 2 + 1)
     return rows.withColumn("pair_no", F.floor((F.col("_place") - 1) / 2)).withColumn("slot", slot.cast("int")).drop("_place", "_of")
 

@@ -16,6 +16,7 @@ from readloom.functions import bases as B
 from readloom.functions import names
 from readloom.functions import quality as Q
 from readloom.functions.sam import blank_star
+from readloom.session import materialise
 
 # Messages of the rules.
 NO_READS = "Submitted files must contain a minimum of 1 sequence read"
@@ -34,6 +35,8 @@ MANY_LABELS = "More pair labels than files"
 BAD_QUALITY = "Qualities hold characters that can't be printed"
 QUICK_LIMIT, EXTENDED_LIMIT = 100_000, 100_000_000
 MIN_PAIRING = 20.0
+#: Read numbers whose lowest are gathered at a time.
+STRETCHES = (10**4, 10**7, 10**10)
 
 
 def _blank(c: Column) -> Column:
@@ -52,13 +55,13 @@ def insdc_error(is_sam: bool = False) -> Column:
     )
 
 
-def fastq_error(casava: Column) -> Column:
-    """First failing rule of a FASTQ read's name and qualities; ``casava``: the style of its file."""
+def fastq_error(casava: Column, odd_quals: Column) -> Column:
+    """First failing rule of a FASTQ read's name and qualities; ``casava``: the style of its file; ``odd_quals``: whether qualities can't be printed."""
     name = F.col("name")
     return (
         F.when(casava & ~F.coalesce(names.is_casava(name), F.lit(False)), NOT_CASAVA)
         .when(~casava & _blank(name), BLANK_NAME)
-        .when(~F.col("quals").rlike(r"\A[!-~]*\z"), BAD_QUALITY)
+        .when(odd_quals, BAD_QUALITY)
     )
 
 
@@ -90,17 +93,20 @@ def file_error(first: Column, check_quality: bool = False) -> Column:
 def duplicate_names(reads: DataFrame, positions: int | None = 100) -> DataFrame:
     """``(file_id, name, n, places)``: names held more than once in a file, with their first ``positions`` read numbers.
 
-    The numbers of a name are reduced within each partition before they meet, so a name that
-    fills a file costs no task more than ``positions`` numbers a partition.
+    The numbers are reduced in steps (``STRETCHES``), so a name that fills a file of 10**13 reads costs no task more than a thousand lists
+    of ``positions`` numbers.
     """
     counts = reads.where("name is not null").groupBy("file_id", "name").agg(F.count("*").alias("n")).where("n > 1")
     if positions is None:
         return counts
     chosen = reads.select("file_id", "name", "read_no").join(counts.select("file_id", "name"), ["file_id", "name"], "left_semi")
-    # two steps: the lowest numbers of each salt, then of all
-    salted = chosen.groupBy("file_id", "name", F.floor(F.col("read_no") / 10_000).alias("salt")).agg(F.slice(F.sort_array(F.collect_list("read_no")), 1, positions).alias("p"))
-    places = salted.groupBy("file_id", "name").agg(F.min(F.struct("salt", "p")).alias("low"), F.sort_array(F.collect_list(F.struct("salt", "p"))).alias("all"))
-    flat = places.select("file_id", "name", F.slice(F.flatten(F.transform("all", lambda x: x["p"])), 1, positions).alias("places"))
+    # the lowest numbers of each stretch of read numbers, then of each thousand stretches, and so on: no task gathers more than a thousand lists
+    part, low = chosen.withColumn("p", F.array("read_no")), F.col("read_no")
+    for width in STRETCHES:
+        stretch = F.floor(low / width)
+        part = part.groupBy("file_id", "name", stretch.alias("stretch")).agg(F.slice(F.sort_array(F.flatten(F.collect_list("p"))), 1, positions).alias("p"))
+        low = F.col("p")[0]
+    flat = part.groupBy("file_id", "name").agg(F.slice(F.sort_array(F.flatten(F.collect_list("p"))), 1, positions).alias("places"))
     return counts.join(flat, ["file_id", "name"])
 
 
@@ -144,25 +150,42 @@ def label_counts(keyed: DataFrame, run: str = "run_accession", shown: int = 10)
     return counts.join(some, run, "left").select(run, "n_files", "n_labels", "labels", (F.col("n_labels") > F.col("n_files")).alias("too_many"))
 
 
-def validate(reads: DataFrame, manifest: DataFrame, quick: bool | None = None, check_quality: bool = False) -> DataFrame:
+def validate(
+    reads: DataFrame, manifest: DataFrame, quick: bool | None = None, check_quality: bool = False, limits: tuple[int, int] | None = (QUICK_LIMIT, EXTENDED_LIMIT), is_sam: bool = False
+) -> DataFrame:
     """Per file of the manifest: ``(file_id, valid, error, read_name, read_index, n_reads, n_high_quality, pairing_pct, n_labels)``.
 
     Rules in order: no reads; content of reads; names and qualities of FASTQ reads; duplicate names; for runs of several
     files a pairing of at least 20 per cent and no more pair labels than files.  ``quick`` overrides the manifest's
-    own choice of how many reads of a file are looked at.
+    own choice of how many reads of a file are looked at, ``limits`` gives the two numbers; with None all reads are.  ``is_sam``: records of
+    alignment files, to which only the rules of content apply; a file without records is an error all the same.
+
+    The reads are judged once; names, pairs and labels follow from a narrow written table.
     """
-    known = manifest.select("file_id", "run_accession", F.coalesce(F.lit(quick), F.col("quick"), F.lit(False)).alias("quick")).dropDuplicates(["file_id"])
-    rows = reads.join(known, "file_id").where(F.col("read_no") <= F.when(F.col("quick"), QUICK_LIMIT).otherwise(EXTENDED_LIMIT))
-    keyed = pair_keys(rows)
-    judged = keyed.withColumn("_e", F.when(insdc_error().isNotNull(), F.struct(F.lit(0).alias("step"), "read_no", insdc_error().alias("error"), "name")))
-    judged = judged.withColumn("_f", F.when(fastq_error(F.col("style") == "CASAVA18").isNotNull(), F.struct(F.lit(2).alias("step"), "read_no", fastq_error(F.col("style") == "CASAVA18").alias("error"), "name")))
-    per = judged.groupBy("file_id").agg(
-        F.min("_e").alias("e"), F.min("_f").alias("f"), F.count("*").alias("n_reads"), F.sum(F.length(F.coalesce("bases", F.lit("")))).alias("n_bases"), F.sum(B.count_autcg(F.coalesce("bases", F.lit("")))).alias("n_autcg"), F.sum(Q.is_high_quality(F.col("quals")).cast("bigint")).alias("n_high_quality")
+    known = manifest.select("file_id", "run_accession", F.coalesce(F.lit(quick), F.col("quick"), F.lit(False)).alias("quick")).groupBy("file_id").agg(F.min(F.struct("run_accession", "quick")).alias("m")).select("file_id", "m.*")
+    rows = reads.join(known, "file_id")
+    if limits is not None:
+        rows = rows.where(F.col("read_no") <= F.when(F.col("quick"), limits[0]).otherwise(limits[1]))
+    bases = F.coalesce(blank_star(F.col("bases")) if is_sam else F.col("bases"), F.lit(""))
+    judged = rows.select(
+        "file_id", "run_accession", "read_no", "name", insdc_error(is_sam).alias("content"), (~F.col("quals").rlike(r"\A[!-~]*\z")).alias("odd_quals"),
+        F.length(bases).alias("n_bases"), B.count_autcg(bases).alias("n_autcg"), Q.is_high_quality(F.col("quals")).cast("bigint").alias("high"),
     )
-    doubled = duplicate_names(rows, None).groupBy("file_id").agg(F.min("name").alias("dup_name"), F.count("*").alias("n_dup"))
-    pairs = pairing_percentages(keyed).groupBy("run_accession").agg(F.min("pairing_pct").alias("pairing_pct"))
-    labels = label_counts(keyed).select("run_accession", "n_labels", "too_many")
-    out = known.join(per, "file_id", "left").join(doubled, "file_id", "left").join(pairs, "run_accession", "left").join(labels, "run_accession", "left")
+    judged = materialise(judged, "validate")
+    total = [F.count("*").alias("n_reads"), F.sum("n_bases").alias("n_bases"), F.sum("n_autcg").alias("n_autcg"), F.sum("high").alias("n_high_quality")]
+    of_read = lambda step, e: F.min(F.when(e.isNotNull(), F.struct(F.lit(step).alias("step"), "read_no", e.alias("error"), "name")))
+    if is_sam:
+        per = judged.groupBy("file_id").agg(of_read(0, F.col("content")).alias("e"), *total)
+        nothing = {"f": "struct<step: int, read_no: bigint, error: string, name: string>", "dup_name": "string", "n_dup": "bigint", "pairing_pct": "double", "n_labels": "bigint", "too_many": "boolean"}
+        out = known.join(per, "file_id", "left").select("*", *(F.lit(None).cast(t).alias(c) for c, t in nothing.items()))
+    else:
+        keyed = pair_keys(judged)
+        casava = F.col("style") == "CASAVA18"
+        per = keyed.groupBy("file_id").agg(of_read(0, F.col("content")).alias("e"), of_read(2, fastq_error(casava, F.col("odd_quals"))).alias("f"), *total)
+        doubled = duplicate_names(judged, None).groupBy("file_id").agg(F.min("name").alias("dup_name"), F.count("*").alias("n_dup"))
+        pairs = pairing_percentages(keyed).groupBy("run_accession").agg(F.min("pairing_pct").alias("pairing_pct"))
+        labels = label_counts(keyed).select("run_accession", "n_labels", "too_many")
+        out = known.join(per, "file_id", "left").join(doubled, "file_id", "left").join(pairs, "run_accession", "left").join(labels, "run_accession", "left")
     content = file_error(F.col("e.error"), check_quality)
     error = (
         F.when(F.coalesce("n_reads", F.lit(0)) == 0, NO_READS)

@@ -165,6 +165,15 @@ fin as (select m.file_id, case when z.n_reads is null then 'Submitted files must
   coalesce(z.first_at, case when z.error is null then ff.first_at end) as read_index, coalesce(z.n_reads, 0) as n_reads, round(pct, 6) as pairing_pct, coalesce(n_labels, 0) as n_labels
   from manifest_files m left join z using (file_id) left join ff using (file_id) left join dn using (file_id) left join pp using (run_accession) left join lb using (run_accession))
 select file_id, error is null as valid, error, read_index, n_reads, pairing_pct, n_labels from fin"""
+_VALIDATED = ORACLE["validation_report"]
+_HIGH = f"y0 as (select file_id, count(*) filter ({mean('raw_quals')} >= 30) as n_high_quality from r where length(raw_quals) > 0 group by file_id),\nfin as ("
+ORACLE["validation_of_quality"] = _VALIDATED.replace("fin as (", _HIGH).replace("when ff.e is not null then ff.e", "when coalesce(n_high_quality, 0) * 2 < z.n_reads then 'When submitted file contains base quality scores then >= 50% of reads must have average quality >= 30' when ff.e is not null then ff.e").replace(
+    "coalesce(n_labels, 0) as n_labels", "coalesce(n_labels, 0) as n_labels, coalesce(n_high_quality, 0) as n_high_quality"
+).replace("left join ff using (file_id)", "left join y0 using (file_id) left join ff using (file_id)").replace("select file_id, error is null as valid, error, read_index, n_reads, pairing_pct, n_labels from fin", "select file_id, error is null as valid, error, n_reads, n_high_quality from fin")
+ORACLE["sam_validation"] = f"""with {SAM}, x0 as (select coalesce(rname, '*') as rname, record_id, qname as name, case when bases = '*' then '' else bases end as bases, case when quals = '*' then '' else quals end as quals from s), x as (select *, {rule()} as e from x0),
+y as (select rname, count(*) as n_reads, min(record_id) filter (e is not null) as first_at, arg_min(e, record_id) filter (e is not null) as e, sum(length(coalesce(bases, ''))) as n_bases, coalesce(sum({AUTCG}), 0) as n_autcg from x group by rname),
+z as (select rname, n_reads, first_at, coalesce(e, case when n_bases - n_autcg > n_bases // 2 then 'Reads must contain only valid IUPAC codes, with no more than 50% of bases being non-AUTCG' end) as error from y union all select 'no records', 0, null, 'Submitted files must contain a minimum of 1 sequence read')
+select rname, error is null as valid, error, first_at as read_index, n_reads from z"""
 ORACLE["manifest_encodings"] = """select file_id, lower(file_type) as file_type, case when lower(file_type) <> 'fastq' then null when quality_score like 'PHRED%' then 'phred' when quality_score = 'LOGODDS' then 'log_odds' end as scoring,
   case when lower(file_type) <> 'fastq' then null when quality_score = 'PHRED_33' then 'FROM33' when quality_score = 'PHRED_64' then 'FROM64' end as ascii_offset, compression from manifest_files"""
 ORACLE["sam_flags"] = f"with {SAM} select record_id, {SEGMENT} as segment, flags & 2304 <> 0 as not_primary, flags & 512 <> 0 as failed, flags & 16 <> 0 as reverse from s"
@@ -189,6 +198,8 @@ ORACLE["sq_dictionary"] = f"with {SQ} select line_no, sn, ln, m5 from sq"
 ORACLE["missing_checksums"] = f"with {SQ} select line_no, sn from sq where m5 is null"
 ORACLE["read_groups"] = f"select line_no, {_TAG.format('ID')} as id, {_TAG.format('SM')} as sm from sam_headers where record = 'RG'"
 ORACLE["reference_paths"] = f"with {SQ} select sn, 'cache/' || m5[1:2] || '/' || m5[3:5] || '/' || m5[6:] as path from sq where m5 is not null"
+ORACLE["reference_checksums"] = f"""with {SQ}, c as (select *, case when line_no % 2 = 0 then md5(translate(md5(sn), '0123456789abcdef', 'ACGTACGTACGTACGN')) end as computed from sq)
+select sn, coalesce(m5, computed) as m5, computed, case when computed is null then 'no_sequence' when m5 is null then 'filled' when m5 = computed then 'equal' else 'differs' end as verdict from c"""
 ORACLE["records_per_reference"] = f"with {SQ}, {SAM}, n as (select rname as sn, count(*) as n from s group by all) select n.sn, n.n, ln, m5 from n left join sq using (sn)"
 PACKED = SAM + ", b as (select record_id, upper(translate(bases, 'Uu', 'Tt')) as b from s)"
 ORACLE["packed_bases"] = f"with {PACKED} select record_id, ((3 * length(b) + 7) // 8)::integer as packed_bytes, ((length(b) + 1) // 2)::integer as squeezed_bytes, true as same from b where regexp_matches(b, '^[ACGTN]+$')"

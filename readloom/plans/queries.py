@@ -53,9 +53,12 @@ def p4_repairs(spark: SparkSession, d: str) -> DataFrame:
 # ---------------------------------------------------------------- base relations
 
 
-def _reads(spark: SparkSession, d: str) -> DataFrame:
-    """Reads delivered again count once; blank names are null, one leading @ is dropped."""
-    t = table(spark, d, "seq_reads")
+def _reads(spark: SparkSession, d: str, where: str = "true") -> DataFrame:
+    """Reads delivered again count once; blank names are null, one leading @ is dropped.
+
+    ``where`` holds or not for all deliveries of a read, so it goes before the shuffle.
+    """
+    t = table(spark, d, "seq_reads").where(where)
     once = t.groupBy("read_id").agg(*(F.first(c).alias(c) for c in ("file_id", "file_no", "read_no", "name", "bases", "raw_quals")))
     bare = F.regexp_replace(F.trim(F.col("name"), F.lit(" \t")), "^@", "")
     return once.withColumn("name", F.when(F.trim(bare) != "", bare))
@@ -282,7 +285,7 @@ def normalize_counts(spark: SparkSession, d: str) -> DataFrame:
 @query
 def read_limit(spark: SparkSession, d: str) -> DataFrame:
     """The first 100 reads of each file: the limit is the feature."""
-    return _reads(spark, d).where("read_no <= 100").select("read_id", "file_id", "read_no")
+    return _reads(spark, d, "read_no <= 100").select("read_id", "file_id", "read_no")
 
 
 @query
@@ -293,9 +296,8 @@ def interleaved_until_shorter(spark: SparkSession, d: str) -> DataFrame:
 
 @query
 def union_files(spark: SparkSession, d: str) -> DataFrame:
-    r = _reads(spark, d)
-    both = r.where("file_no = 1").select("read_id", "file_no").unionByName(r.where("file_no = 2").select("read_id", "file_no"))
-    return both.groupBy("file_no").agg(F.count("*").alias("n"))
+    r = _reads(spark, d, "file_no in (1, 2)").select("read_id", "file_no")
+    return r.groupBy("file_no").agg(F.count("*").alias("n"))
 
 
 @query
@@ -364,6 +366,31 @@ def validation_report(spark: SparkSession, d: str) -> DataFrame:
     return out.select("file_id", "valid", "error", "read_index", "n_reads", F.round("pairing_pct", 6).alias("pairing_pct"), "n_labels")
 
 
+@query
+def validation_of_quality(spark: SparkSession, d: str) -> DataFrame:
+    """With the rule that half of the reads must have a mean quality of 30, over all reads of a file however many."""
+    out = validate.validate(_reads(spark, d).withColumn("quals", F.col("raw_quals")), table(spark, d, "manifest_files"), check_quality=True, limits=None)
+    return out.select("file_id", "valid", "error", "n_reads", "n_high_quality")
+
+
+@query
+def sam_validation(spark: SparkSession, d: str) -> DataFrame:
+    """Records by the reference they name as files of a submission, one of which has none."""
+    refs = table(spark, d, "sam_records").select(F.coalesce("rname", F.lit("*")).alias("rname")).distinct().unionByName(spark.createDataFrame([("no records",)], "rname string"))
+    files = refs.select("rname", F.expr("conv(substr(md5(rname), 1, 12), 16, 10)").cast("bigint").alias("file_id"))
+    rows = _records(spark, d).withColumn("rname", F.coalesce("rname", F.lit("*"))).join(files, "rname").select("file_id", F.col("record_no").alias("read_no"), F.col("qname").alias("name"), "bases", "quals")
+    out = validate.validate(rows, files.select("file_id", F.lit("run").alias("run_accession"), F.lit(False).alias("quick")), is_sam=True)
+    return out.join(files, "file_id").select("rname", "valid", "error", "read_index", "n_reads")
+
+
+@query
+def reference_checksums(spark: SparkSession, d: str) -> DataFrame:
+    """Checksums of the sequences that the headers name, against computed ones; every second line has its sequence (made of its own name)."""
+    sq = reference.sq_lines(table(spark, d, "sam_headers"))
+    have = sq.where("line_no % 2 = 0").select("sn", F.translate(F.md5("sn"), "0123456789abcdef", "ACGTACGTACGTACGN").alias("bases"))
+    return reference.check_md5(sq, have).select("sn", "m5", "computed", "verdict")
+
+
 @query
 def manifest_encodings(spark: SparkSession, d: str) -> DataFrame:
     return manifest.raw_files(table(spark, d, "manifest_files")).select("file_id", "file_type", "scoring", "ascii_offset", "compression")

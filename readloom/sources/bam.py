@@ -10,6 +10,7 @@ from collections.abc import Iterator
 from typing import BinaryIO
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
@@ -124,6 +125,12 @@ def write_file(path: str, rows: Iterator[dict], sample: str, sorted_by_name: boo
     return n
 
 
+_ARROW = pa.schema(
+    [("file", pa.string()), ("record_no", pa.int64()), ("qname", pa.string()), ("flags", pa.int32()), ("rname", pa.string()), ("pos", pa.int32()), ("mapq", pa.string()), ("cigar", pa.string()), ("rnext", pa.string())]
+    + [("pnext", pa.int32()), ("tlen", pa.int32()), ("bases", pa.string()), ("quals", pa.string()), ("tags", pa.map_(pa.string(), pa.string()))]
+)
+
+
 class _Part(InputPartition):
     def __init__(self, path: str):
         self.path = path
@@ -134,9 +141,12 @@ class _Reader(DataSourceReader):
         self.path = path
 
     def partitions(self):
-        return [_Part(p) for p in files.list_files(self.path.split(","))]
+        return [_Part(p) for p in files.list_files(files.unpacked(self.path))]
 
     def read(self, part):
+        return files.batches(self._rows(part), _ARROW)
+
+    def _rows(self, part):
         if files.is_cram(part.path):
             raise NotImplementedError(f"{part.path} is a CRAM file; decode it to SAM or BAM first")
         with gzip.GzipFile(fileobj=files.open_raw(part.path)) as stream:
@@ -177,7 +187,7 @@ class BamDataSource(DataSource):
 
 def read_bam(spark: SparkSession, paths: str | list[str], **options) -> DataFrame:
     spark.dataSource.register(BamDataSource)
-    return spark.read.format("bam").load(paths if isinstance(paths, str) else ",".join(paths))
+    return spark.read.format("bam").load(files.packed(paths))
 
 
 def write_bam(records: DataFrame, path: str, sample: str) -> None:

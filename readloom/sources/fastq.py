@@ -3,7 +3,7 @@
 ``strict``: four lines a record, blank lines between records skipped.  Plain files are split
 into byte ranges; each range finds the first record that begins in it, so that a file of any size is read
 by many tasks.  ``lenient``: bases and qualities over several lines, number lists as
-qualities; such files, and compressed ones, are read by one task each.
+qualities; split alike, where a range begins with two records of that form.  Compressed files are read by one task each.
 
 A record that breaks the grammar ends its range's reading: as an error (``on_error=raise``, the default) or as a last
 row with ``error`` and ``line_no`` (``on_error=row``).
@@ -12,8 +12,9 @@ row with ``error`` and ``line_no`` (``on_error=row``).
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -23,13 +24,12 @@ from readloom.functions.names import CASAVA, MAX_NAME
 from readloom.sources import files
 
 _SCHEMA = "file string, file_no int, chunk_no int, row_no bigint, name string, bases string, plus string, raw_quals string, error string, line_no bigint"
+_ARROW = pa.schema([("file", pa.string()), ("file_no", pa.int32()), ("chunk_no", pa.int32()), ("row_no", pa.int64()), *((c, pa.string()) for c in ("name", "bases", "plus", "raw_quals", "error")), ("line_no", pa.int64())])
 _BAD_BASE = re.compile("[^ACGTNUactgnu.]")
 _PRINTABLE = re.compile("[!-~]*")
 _NUMBERS = re.compile(r"-?[0-9]{1,3}(?: +-?[0-9]{1,3})*[ -]*")
 _CASAVA_LINE = re.compile("@" + CASAVA[1:])
 SPLIT_BYTES = 64 << 20
-#: Offsets of up to so many byte ranges (some 20 MB) are broadcast; more are joined by a shuffle.
-BROADCAST_RANGES = 500_000
 
 
 class FastqError(ValueError):
@@ -72,9 +72,12 @@ def strict_records(lines: Iterator[str]) -> Iterator[Record]:
         yield head[1:], bases, plus[1:], quals
 
 
-def lenient_records(lines: Iterator[str], expected_length: int | None = None) -> Iterator[Record]:
-    """Records whose bases and qualities may go over several lines; a record cut by the file's end is dropped."""
-    n, casava = 0, None
+def lenient_records(lines: Iterator[str], expected_length: int | None = None, casava: bool | None = None, more: Callable[[], bool] = lambda: True) -> Iterator[Record]:
+    """Records whose bases and qualities may go over several lines; a record cut by the file's end is dropped.
+
+    ``casava``: the form of the file's names, else that of the first; ``more``: whether a further record is wanted.
+    """
+    n = 0
 
     def following() -> str | None:
         nonlocal n
@@ -82,7 +85,7 @@ def lenient_records(lines: Iterator[str], expected_length: int | None = None) ->
         n += line is not None
         return None if line is None else line.rstrip("\r\n")
 
-    while (head := following()) is not None:
+    while more() and (head := following()) is not None:
         if not head.strip():
             continue
         if len(head.strip()) > MAX_NAME + 1:
@@ -159,6 +162,55 @@ def range_lines(path: str, start: int, end: int) -> Iterator[str]:
                 slot = (slot + 1) % 4
 
 
+def _parses(lines: list[bytes], ended: bool, casava: bool) -> bool | None:
+    """Whether lines begin with two lenient records, or with one that ends the file; None where more lines must tell."""
+    text = iter([x.decode("utf-8", "replace") for x in lines])
+    n = 0
+    try:
+        for n, _ in enumerate(lenient_records(text, None, casava), 1):
+            if n == 2:
+                return True
+    except FastqError:
+        return False
+    return n == 1 if ended else None
+
+
+def lenient_range(path: str, start: int, end: int, casava: bool, expected_length: int | None = None) -> Iterator[Record]:
+    """Lenient records that begin in a byte range of a plain file."""
+    with files.open_raw(path) as f:
+        f.seek(max(0, start - 1))
+        at, ahead, ended = max(0, start - 1), [], False
+        if start:
+            at += len(f.readline())
+            while True:  # lines are taken until one of those in the range begins a record, or the range ends
+                more = [x for x in (f.readline() for _ in range(64)) if x]
+                ahead += more
+                ended = len(more) < 64
+                begins, place = [], at
+                for i, x in enumerate(ahead):
+                    if place >= end:
+                        break
+                    if x.startswith(b"@"):
+                        begins.append(i)
+                    place += len(x)
+                told = {i: _parses(ahead[i:], ended, casava) for i in begins}
+                found = next((i for i in begins if told[i] is not False), None)
+                if found is not None and told[found]:
+                    break
+                if found is None and (ended or place >= end):
+                    return  # no record begins in the range
+            at += sum(map(len, ahead[:found]))
+            ahead = ahead[found:][::-1]
+
+        def lines() -> Iterator[str]:
+            nonlocal at
+            while line := ahead.pop() if ahead else f.readline():
+                at += len(line)
+                yield line.decode("utf-8", "replace")
+
+        yield from lenient_records(lines(), expected_length, casava, lambda: at < end)
+
+
 class _Part(InputPartition):
     def __init__(self, path: str, file_no: int, chunk_no: int, start: int, end: int, whole: bool):
         self.path, self.file_no, self.chunk_no, self.start, self.end, self.whole = path, file_no, chunk_no, start, end, whole
@@ -170,23 +222,30 @@ class _Reader(DataSourceReader):
 
     def partitions(self):
         split = int(self.options.get("splitbytes", SPLIT_BYTES))
-        lenient = self.options.get("mode", "strict") == "lenient"
         parts = []
-        for k, path in enumerate(files.list_files(self.options["path"].split(",")), 1):
-            ranges = [(0, files.size_of(path))] if lenient else files.chunks(path, split)
+        for k, path in enumerate(files.list_files(files.unpacked(self.options["path"])), 1):
+            ranges = files.chunks(path, split)
             parts += [_Part(path, k, i, a, b, len(ranges) == 1) for i, (a, b) in enumerate(ranges)]
         return parts
 
     def read(self, part):
+        return files.batches(self._rows(part), _ARROW)
+
+    def _rows(self, part):
         limit = int(self.options.get("maxreadsperfile", 0))
+        lenient = self.options.get("mode", "strict") == "lenient"
+        length = int(self.options["expectedlength"]) if self.options.get("expectedlength") else None
         if part.whole:
             opener = files.open_named if self.options.get("compression") == "extension" else files.open_content
             lines = (line.decode("utf-8", "replace") for line in opener(part.path))
-        else:
+        elif not lenient:
             lines = range_lines(part.path, part.start, part.end)
-        lenient = self.options.get("mode", "strict") == "lenient"
-        length = self.options.get("expectedlength")
-        records = lenient_records(lines, int(length) if length else None) if lenient else strict_records(lines)
+        if lenient and not part.whole:
+            with files.open_raw(part.path) as f:
+                first = next((x for x in f if x.strip()), b"").decode("utf-8", "replace").rstrip("\r\n")
+            records = lenient_range(part.path, part.start, part.end, bool(_CASAVA_LINE.match(first)), length)
+        else:
+            records = lenient_records(lines, length) if lenient else strict_records(lines)
         n = 0
         try:
             for n, record in enumerate(records, 1):
@@ -220,19 +279,17 @@ def read_fastq(spark: SparkSession, paths: str | list[str], **options) -> DataFr
     An empty file gives no rows.
     """
     spark.dataSource.register(FastqDataSource)
-    joined = paths if isinstance(paths, str) else ",".join(paths)
+    joined = files.packed(paths)
     rows = spark.read.format("fastq").options(**{k: str(v) for k, v in options.items()}).load(joined)
     columns = ["file", "file_no", "read_no", "name", "bases", "plus", "raw_quals", "error", "line_no"]
     split = int(options.get("splitBytes", SPLIT_BYTES))
-    lenient = options.get("mode") == "lenient"
-    sizes = [1 if lenient else len(files.chunks(p, split)) for p in files.list_files(joined.split(","))]
+    sizes = [len(files.chunks(p, split)) for p in files.list_files(files.unpacked(joined))]
     if max(sizes, default=1) == 1:
         return rows.withColumnRenamed("row_no", "read_no").select(*columns)
     counts = rows.groupBy("file_no", "chunk_no").agg(F.count("*").alias("n"))
     before = Window.partitionBy("file_no").orderBy("chunk_no").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("file_no", "chunk_no", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    few = sum(sizes) <= BROADCAST_RANGES  # offsets have a row per byte range
-    return rows.join(F.broadcast(offsets) if few else offsets, ["file_no", "chunk_no"]).withColumn("read_no", F.col("row_no") + F.col("before")).select(*columns)
+    return rows.join(offsets, ["file_no", "chunk_no"]).withColumn("read_no", F.col("row_no") + F.col("before")).select(*columns)
 
 
 def write_fastq(reads: DataFrame, path: str, compression: str | None = None, mode: str = "error") -> None:

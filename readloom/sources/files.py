@@ -5,10 +5,14 @@ from __future__ import annotations
 import bz2
 import gzip
 import io
+import json
 import tarfile
 import zipfile
+from collections.abc import Iterable, Iterator
+from itertools import islice
 from typing import BinaryIO
 
+import pyarrow as pa
 from pyarrow import fs
 
 
@@ -19,6 +23,30 @@ def filesystem(path: str) -> tuple[fs.FileSystem, str]:
     return fs.LocalFileSystem(), path
 
 
+def packed(paths: str | list[str]) -> str:
+    """Paths as one option of a data source, whatever characters they hold."""
+    return json.dumps([paths] if isinstance(paths, str) else list(paths))
+
+
+def unpacked(option: str) -> list[str]:
+    """The paths of an option; text that isn't a list is one path."""
+    if option.startswith("["):
+        try:
+            found = json.loads(option)
+        except ValueError:
+            return [option]
+        if all(isinstance(p, str) for p in found):
+            return found
+    return [option]
+
+
+def batches(rows: Iterable[tuple], schema: pa.Schema, size: int = 4096) -> Iterator[pa.RecordBatch]:
+    """Rows as Arrow batches, so that they reach Spark without being turned one by one."""
+    rows = iter(rows)
+    while held := list(islice(rows, size)):
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
+
+
 def list_files(paths: list[str]) -> list[str]:
     """Files of paths; a folder stands for its files, by name, without hidden ones."""
     out = []

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -9,6 +10,9 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from readloom.sources import files, fastq
 
 
+_ARROW = pa.schema([("file", pa.string()), ("chunk_no", pa.int32()), ("row_no", pa.int64()), ("value", pa.string())])
+
+
 class _Part(InputPartition):
     def __init__(self, path: str, chunk_no: int, start: int, end: int, whole: bool):
         self.path, self.chunk_no, self.start, self.end, self.whole = path, chunk_no, start, end, whole
@@ -21,12 +25,15 @@ class _Lines(DataSourceReader):
     def partitions(self):
         split = int(self.options.get("splitbytes", fastq.SPLIT_BYTES))
         out = []
-        for path in files.list_files(self.options["path"].split(",")):
+        for path in files.list_files(files.unpacked(self.options["path"])):
             ranges = files.chunks(path, split)
             out += [_Part(path, i, a, b, len(ranges) == 1) for i, (a, b) in enumerate(ranges)]
         return out
 
     def read(self, part):
+        return files.batches(self._rows(part), _ARROW)
+
+    def _rows(self, part):
         if part.whole:
             for n, line in enumerate(files.open_content(part.path), 1):
                 yield part.path, part.chunk_no, n, line.rstrip(b"\r\n").decode("utf-8", "replace")
@@ -60,14 +67,12 @@ class NumberedLines(DataSource):
 def read_lines(spark: SparkSession, paths: str | list[str], **options) -> DataFrame:
     """``(file, line_no, value)`` with 1-based line numbers."""
     spark.dataSource.register(NumberedLines)
-    joined = paths if isinstance(paths, str) else ",".join(paths)
+    joined = files.packed(paths)
     rows = spark.read.format("numbered_lines").options(**{k: str(v) for k, v in options.items()}).load(joined)
     before = Window.partitionBy("file").orderBy("chunk_no").rowsBetween(Window.unboundedPreceding, -1)
     counts = rows.groupBy("file", "chunk_no").agg(F.count("*").alias("n"))
     offsets = counts.select("file", "chunk_no", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    split = int(options.get("splitBytes", fastq.SPLIT_BYTES))
-    few = sum(len(files.chunks(p, split)) for p in files.list_files(joined.split(","))) <= fastq.BROADCAST_RANGES  # offsets have a row per byte range
-    return rows.join(F.broadcast(offsets) if few else offsets, ["file", "chunk_no"]).select("file", (F.col("row_no") + F.col("before")).alias("line_no"), "value")
+    return rows.join(offsets, ["file", "chunk_no"]).select("file", (F.col("row_no") + F.col("before")).alias("line_no"), "value")
 
 
 def parse_sam(lines: DataFrame) -> DataFrame:

@@ -95,3 +95,14 @@ def test_interleave(spark):
 def test_pair_by_name(spark):
     df = spark.createDataFrame([(1, "a"), (2, "b"), (3, "a"), (4, "a")], "record_no bigint, qname string")
     assert {r.record_no: (r.pair_no, r.slot) for r in pairing.pair_by_name(df).collect()} == {1: (0, 1), 3: (0, 2), 4: (1, 0), 2: (0, 0)}
+
+
+@pytest.mark.parametrize("stretch", [2, 5])
+def test_one_name_is_counted_in_stretches(spark, monkeypatch, stretch):
+    monkeypatch.setattr(pairing, "STRETCH", stretch)
+    df = spark.createDataFrame([(i, "*" if i % 3 else None) for i in range(1, 41)], "record_no bigint, qname string").repartition(3)
+    got = {r.record_no: (r.qname, r.pair_no, r.slot) for r in pairing.pair_by_name(df).collect()}
+    for name in ("*", None):
+        mine = sorted(n for n, g in got.items() if g[0] == name)
+        alone = len(mine) % 2
+        assert [got[n][1:] for n in mine] == [(k // 2, 0 if alone and k == len(mine) - 1 else k % 2 + 1) for k in range(len(mine))]

@@ -175,3 +175,48 @@ def test_lenient_source(spark, tmp_path):
     r = fastq.read_fastq(spark, str(p), mode="lenient").first()
     assert (r.bases, r.raw_quals) == ("ACG", "III")
     assert fastq.read_fastq(spark, str(p), mode="lenient").select(F.count("*")).first()[0] == 1
+
+
+def lenient_text(n, seed=3):
+    """Records over several lines, with qualities that look like names, and some as numbers."""
+    rng = random.Random(seed)
+    out = []
+    for i in range(n):
+        size = rng.randint(1, 60)
+        b, q = "".join(rng.choice("ACGTN") for _ in range(size)), "".join(rng.choice("@+IAB#") for _ in range(size))
+        cut = lambda x: "\n".join(x[k : k + 13] for k in range(0, len(x), 13))
+        form = rng.random()
+        out.append(f"@r{i}\n{cut(b)}\n+\n{' '.join(str(ord(c) - 33) for c in q) if form < 0.2 and size > 2 else cut(q) if form < 0.6 else q}\n" + "\n" * (form > 0.95))
+    return "".join(out)
+
+
+def test_lenient_files_are_split(spark, tmp_path):
+    p = tmp_path / "l.fastq"
+    p.write_text(lenient_text(400))
+    whole = key(fastq.read_fastq(spark, str(p), mode="lenient"))
+    assert len(whole) == 400 and [w[1] for w in whole] == list(range(1, 401))
+    for size in (150, 1000, 9000):
+        df = fastq.read_fastq(spark, str(p), mode="lenient", splitBytes=size)
+        assert key(df) == whole
+    assert spark.read.format("fastq").options(mode="lenient", splitBytes=1000).load(str(p)).rdd.getNumPartitions() > 10
+    p.write_text(text(300))
+    assert key(fastq.read_fastq(spark, str(p), mode="lenient", splitBytes=700)) == key(fastq.read_fastq(spark, str(p)))
+
+
+def test_paths_with_commas_and_brackets(spark, tmp_path):
+    names = ["a,b.fastq", "[c].fastq", "d e.fastq"]
+    for i, n in enumerate(names):
+        (tmp_path / n).write_text(f"@r{i}\nAC\n+\nII\n")
+    assert [r.name for r in fastq.read_fastq(spark, [str(tmp_path / n) for n in names]).orderBy("file_no").collect()] == ["r0", "r1", "r2"]
+    assert fastq.read_fastq(spark, str(tmp_path / names[0])).count() == 1
+    (tmp_path / "x,y.sam").write_text("q\t4\t*\t0\t0\t*\t*\t0\t0\tAC\tII\n")
+    assert sam.read_sam(spark, str(tmp_path / "x,y.sam")).first().qname == "q"
+
+
+def test_alignment_files_without_records_are_no_good(spark, tmp_path):
+    (tmp_path / "empty.sam").write_text("@HD\tVN:1.6\n@SQ\tSN:1\tLN:5\n")
+    (tmp_path / "good.sam").write_text("@HD\tVN:1.6\nq\t4\t*\t0\t0\t*\t*\t0\t0\tAC\tII\n")
+    bam.write_file(str(tmp_path / "empty.bam"), iter([]), "s")
+    check = lambda *n: {r.file_id: r.error for r in cli.run_validate(spark, [{"file": str(tmp_path / x), "file_type": x[-3:]} for x in n]).collect()}
+    nothing = "Submitted files must contain a minimum of 1 sequence read"
+    assert check("empty.sam") == {1: nothing} == check("empty.bam") and check("good.sam", "empty.sam") == {1: None, 2: nothing}

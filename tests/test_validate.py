@@ -85,3 +85,20 @@ def test_empty(spark):
     assert V.insdc_report(reads).collect() == [] and V.duplicate_names(reads).collect() == []
     assert [r.error for r in V.validate(reads, manifest(spark, [(1, "a")])).collect()] == [V.NO_READS]
     assert V.validate(reads, manifest(spark, [])).collect() == []
+
+
+def test_places_of_a_name_that_fills_a_file(spark, monkeypatch):
+    monkeypatch.setattr(V, "STRETCHES", (3, 9, 27))
+    df = spark.range(1, 201).selectExpr("1L as file_id", "id as read_no", "if(id % 5 = 0, concat('n', id), 'hot') as name").repartition(4)
+    r = V.duplicate_names(df, 7).collect()
+    assert len(r) == 1 and r[0].n == 160 and r[0].places == [1, 2, 3, 4, 6, 7, 8]
+
+
+def test_limits_can_be_lifted(spark):
+    rows = [(1, 5, "a", "AC", "II"), (1, 200_000_000, "b", "", "II")]
+    df = spark.createDataFrame(rows, "file_id bigint, read_no bigint, name string, bases string, quals string")
+    man = manifest(spark, [(1, "r")])
+    assert V.validate(df, man).first().valid and V.validate(df, man).first().n_reads == 1
+    r = V.validate(df, man, limits=None).first()
+    assert (r.error, r.read_index, r.n_reads) == (V.EMPTY_READ, 200_000_000, 2)
+    assert V.validate(df, man, limits=(5, 5)).first().n_reads == 1
