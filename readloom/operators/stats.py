@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 
 # Fixed values: (lower, upper) bounds, typical bounds and offsets of the quality intervals.
 INTERVALS = {"S": (33, 126, 33, 73, 33), "X": (59, 126, 59, 104, 64), "I": (64, 126, 64, 104, 64), "J": (66, 126, 67, 104, 64), "L": (33, 126, 33, 74, 33)}
-#: Scores of the scoring models, and the step at which their error probabilities are taken.
-SCORES, STEP = range(-5, 41), 1e-8
+#: Scores of the scoring models.
+SCORES = range(-5, 41)
 
 
 def _count_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

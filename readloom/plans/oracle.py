@@ -4,8 +4,7 @@ from __future__ import annotations
 
 import math
 
-from readloom.functions import names, quality
-from readloom.operators import stats
+from readloom.functions import names
 
 ORACLE: dict[str, str] = {}
 
@@ -71,7 +70,8 @@ SCORED = TEXTS + """,
 u as (select t.* from t join manifest_files m using (file_id) where quality_score = '{}' and not regexp_matches(raw_quals, '\\s'))"""
 _CODES = "".join(map(chr, range(33, 127)))
 _ILLUMINA = "".join(chr(33 + max(0, c - 64)) for c in range(33, 127))
-_SOLEXA = "".join(chr(33 + quality.solexa_to_phred(c)) for c in range(33, 127))
+# Phred of a log-odds score s is 10 * log10(10 ** (s / 10) + 1), rounded; negative scores become 0
+_SOLEXA = "".join(chr(33 + (math.floor(10 * math.log10(10 ** ((c - 64) / 10) + 1) + 0.5) if c >= 64 else 0)) for c in range(33, 127))
 ORACLE["quality_illumina_to_sanger"] = f"with {SCORED.format('PHRED_64')} select read_id, translate(raw_quals, {lit(_CODES)}, {lit(_ILLUMINA)}) as quals from u"
 ORACLE["quality_solexa_to_phred"] = f"with {SCORED.format('LOGODDS')} select read_id, translate(raw_quals, {lit(_CODES)}, {lit(_SOLEXA)}) as quals from u"
 ORACLE["phred_logodds"] = f"""with {SAM}, c as ({chars('s', 'quals', 'quals as whole')}), x as (select distinct ascii(symbol) - 33 as score from c where whole <> '*')
@@ -95,11 +95,13 @@ ORACLE["histogram_diff"] = f"""with {READS}, c as (select 'bases' as kind, * fro
 h as (select file_no, kind, symbol, count(*) as n from c group by all)
 select coalesce(a.kind, b.kind) as kind, coalesce(a.symbol, b.symbol) as symbol, a.n as n_a, b.n as n_b from (select * from h where file_no = 1) a full join (select * from h where file_no = 2) b on a.kind = b.kind and a.symbol = b.symbol where a.n is distinct from b.n"""
 FILE_QUALS = f"{TEXTS}, c as ({chars('t', 'raw_quals', 'file_id')}), h as (select file_id, ascii(symbol) as code, count(*) as n from c group by all)"
-_INTERVALS = ", ".join(f"('{k}', {v[0]}, {v[1]}, {v[2]}, {v[3]})" for k, v in stats.INTERVALS.items())
+# Intervals of quality characters and their typical bounds
+_INTERVALS = "('S', 33, 126, 33, 73), ('X', 59, 126, 59, 104), ('I', 64, 126, 64, 104), ('J', 66, 126, 67, 104), ('L', 33, 126, 33, 74)"
 ORACLE["qual_interval_weight"] = f"""with {FILE_QUALS}, i(interval, low, high, t_low, t_high) as (values {_INTERVALS}), b as (select file_id, min(code) as a, max(code) as z from h group by file_id)
 select h.file_id, i.interval, round(sum(case when code between t_low and t_high then n else 0 end)::double / sum(n)::double, 9) as weight from h join b using (file_id) join i on b.a >= i.low and b.z <= i.high group by all"""
-_MODELS = ", ".join(f"('{m}', {s}, {p!r}::double)" for m in ("PHRED", "LOGODDS") for s, p in zip(stats.SCORES, stats.model_shares(m)))
-ORACLE["scoring_distance"] = f"""with {FILE_QUALS}, m(model, score, p) as (values {_MODELS}), g as (select file_id, code - 33 as score, n from h where code - 33 between -5 and 40), tot as (select file_id, sum(n)::double as total from g group by file_id)
+ORACLE["scoring_distance"] = f"""with {FILE_QUALS}, e as (select model, s, case when model = 'PHRED' then least(1.0::double, pow(10.0::double, -s / 10.0::double)) else 1 / (1 + pow(10.0::double, s / 10.0::double)) end as p from (values ('PHRED'), ('LOGODDS')) k(model), range(-6, 43) r(s)),
+i as (select s as score, case when s > 0 then s when s < 0 then s - 1 else -1 end as a, case when s > 0 then s + 1 when s < 0 then s else 1 end as b from range(-5, 41) r(s)),
+m0 as (select x.model, i.score, greatest(0.0::double, x.p - y.p) as p from i join e x on x.s = i.a join e y on y.s = i.b and y.model = x.model), m as (select model, score, p / sum(p) over (partition by model) as p from m0), g as (select file_id, code - 33 as score, n from h where code - 33 between -5 and 40), tot as (select file_id, sum(n)::double as total from g group by file_id)
 select tot.file_id, m.model, round(sqrt(sum(pow(m.p - coalesce(g.n, 0) / tot.total, 2)) / 46), 9) as distance from tot join m on true left join g on g.file_id = tot.file_id and g.score = m.score group by all"""
 ORACLE["pair_assembly"] = f"with {assembled()} select run_accession, read_key, name_1 as forward_name, case when is_pair then name_2 end as reverse_name, bases_1 as forward_bases, n_reads from q"
 ORACLE["pair_inner"] = f"with {assembled()} select run_accession, read_key, number_1, number_2 from q where is_pair"
@@ -205,13 +207,28 @@ PACKED = SAM + ", b as (select record_id, upper(translate(bases, 'Uu', 'Tt')) as
 ORACLE["packed_bases"] = f"with {PACKED} select record_id, ((3 * length(b) + 7) // 8)::integer as packed_bytes, ((length(b) + 1) // 2)::integer as squeezed_bytes, true as same from b where regexp_matches(b, '^[ACGTN]+$')"
 ORACLE["packed_scores"] = f"with {SAM} select record_id, ((6 * length(quals) + 7) // 8)::integer as packed_bytes from s where regexp_matches(quals, '^[!-~]+$') and quals <> '*'"
 
+# ---------------------------------------------------------------- files
+
+WHOLE = "name is not null and length(name) <= 256 and length(bases) = length(raw_quals) and regexp_matches(bases, '^[ACGTNacgtn]+$') and regexp_matches(raw_quals, '^[!-~]+$')"
+ORACLE["fastq_round_trip"] = ORACLE["fastq_gzip_round_trip"] = f"with {RUN_READS} select name, bases, quals from rr where {WHOLE}"
+ORACLE["fastq_lenient_round_trip"] = f"with {RUN_READS} select name, bases, quals from rr where {WHOLE} and not regexp_matches(name, {lit(CAS)})"
+_TAGS = "array_to_string(list_sort(list_transform(list_filter(map_entries(tags), lambda e: e.value is not null), lambda e: e.key || '=' || e.value)), ';')"
+ORACLE["sam_round_trip"] = f"""select {", ".join(f"coalesce({c}, 0)::integer as {c}" for c in ("flags", "pos", "pnext", "tlen"))}, {", ".join(f"coalesce({c}, '*') as {c}" for c in ("qname", "rname", "mapq", "cigar", "rnext", "bases", "quals"))},
+  coalesce({_TAGS}, '') as tags from (select any_value(columns(* exclude (record_id, loaded_at, tags))), first(tags) as tags from sam_records group by record_id) where qname is not null and trim(qname) <> '' and qname not like '@%'"""
+ORACLE["sam_header_round_trip"] = f"select record, coalesce({_TAGS}, '') as tags from sam_headers where record in ('HD', 'SQ', 'RG')"
+ORACLE["bam_round_trip"] = ORACLE["fastq_to_sam"].replace("select run_accession, qname, (flags", "select * from (select qname, quals, (flags", 1).replace("translate(bases, 'Uu', 'Tt') as bases from x", "replace(upper(translate(bases, 'Uu', 'Tt')), '.', 'N') as bases from x) where error is null and length(qname) <= 254 and regexp_matches(quals, '^[!-~]+$') and quals <> '*'").replace(
+    "select * from (", "select qname, flags, bases, quals, barcode from ("
+)
+ORACLE["sam_to_fastq_files"] = f"with z as ({ORACLE['sam_to_fastq']}) select segment_index, name, bases, quals from z where name is not null and bases <> '' and length(bases) = length(quals)"
+ORACLE["sam_to_fastq_counts"] = f"with z as ({ORACLE['sam_to_fastq']}) select segment_index, count(*) as n_reads, sum(length(bases))::bigint as n_bases, count(*) as n_names from z group by segment_index"
+
 # ---------------------------------------------------------------- problems 3 and 4
 
 _WS = "' ' || chr(9) || chr(13) || chr(10)"
 _ODDS = ", ".join(f"({c}, {max(0, math.floor(10 * math.log10(10 ** ((c - 64) / 10) + 1) + 0.5))})" for c in range(33, 127))
 _WORDS = r"^([A-Za-z][A-Za-z()_%\-]*(?:\s+[A-Za-z(][A-Za-z()_%\-]*)*\s*[:=]?\s+)[-+.\d]"
 _LIST = r"^(?:[A-Za-z][A-Za-z()_%\-]*(?:\s+[A-Za-z(][A-Za-z()_%\-]*)*\s*[:=]?\s+)?([-+.\d][-+0-9.eE%,;|/\s]*)$"
-ORACLE["p3_found"] = rf"""
+_SCORED = rf"""
 with c0 as (select distinct read_id, file_id, trim(bases, {_WS}) as b, trim(raw_quals, {_WS}) as q from seq_reads where trim(raw_quals, {_WS}) not in ('', '*')),
 c1 as (select *, regexp_extract(q, '{_LIST}', 1) as body, lower(regexp_replace(regexp_extract(q, '{_WORDS}', 1), '[^A-Za-z]', '', 'g')) as word from c0),
 c2 as (select *, list_filter(regexp_split_to_array(trim(body, {_WS}), '[,;|/\s]+'), lambda x: x <> '') as items from c1),
@@ -230,8 +247,12 @@ texts as (select read_id, encoding, unnest(string_split(q, '')) as ch from rows_
 t as (select read_id, sum(case when encoding = '64' then ascii(ch) - 64 else phred end) as phred_total from texts join odds on code = ascii(ch) group by read_id),
 nums as (select read_id, is_p, scale, unnest(items) as x from rows_ where is_list),
 vals as (select *, replace(x, '%', '')::double / case when x like '%\%%' escape '\' then 100 else 1 end as v from nums),
-l as (select read_id, sum(case when is_p then case when v > 0 then floor(-10 * log10(v) + 0.5) else 0 end when scale = 'LOGODDS' then floor(10 * log10(pow(10.0::double, v / 10) + 1) + 0.5) else floor(v + 0.5) end) as phred_total from vals group by read_id)
-select read_id, phred_total::bigint as phred_total from (select * from t union all select * from l)"""
+l as (select read_id, sum(case when is_p then case when v > 0 then floor(-10 * log10(v) + 0.5) else 0 end when scale = 'LOGODDS' then floor(10 * log10(pow(10.0::double, v / 10) + 1) + 0.5) else floor(v + 0.5) end) as phred_total from vals group by read_id),
+every as (select * from t union all select * from l)
+"""
+ORACLE["p3_found"] = _SCORED + "select read_id, phred_total::bigint as phred_total from every"
+ORACLE["p3_units"] = _SCORED + r"""select case when is_list and q like '%\%%' escape '\' then 'PERCENT' when is_list and is_p then 'PROBABILITY' when is_list then scale || '_LIST' when encoding = 'ODDS' then 'LOGODDS_64' else 'PHRED_64' end as unit, count(*) as n_reads,
+  sum(case when is_list then len(items) else length(q) end)::bigint as n_values, sum(phred_total)::bigint as phred_total from rows_ join every using (read_id) group by all"""
 _BLANK = "trim({}, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
 _PARSED = f"""
 with d as (select distinct raw_id, lower(trim(layout)) as kind, raw_text as t from raw_reads),

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from readloom.functions import bases, names, quality, regions, sam
 from readloom.operators import convert, errparse, normalise, pairing, reference, sampler, stats, units, validate
-from readloom.sources import manifest
-from readloom.session import table
+from readloom.sources import bam, fastq, files, manifest
+from readloom.sources import sam as sam_files
+from readloom.session import scratch, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -488,3 +489,83 @@ def packed_scores(spark: SparkSession, d: str) -> DataFrame:
 @query
 def generated_reads(spark: SparkSession, d: str) -> DataFrame:
     return sampler.generate_reads(spark, 1000)
+
+
+# ---------------------------------------------------------------- files: written to the shared folder and read again
+
+
+def _whole_reads(spark: SparkSession, d: str) -> DataFrame:
+    """Reads that a FASTQ file can hold."""
+    rows = _run_reads(spark, d).where("name is not null and length(name) <= 256 and length(bases) = length(quals)")
+    return rows.where(F.col("bases").rlike("^[ACGTNacgtn]+$") & F.col("quals").rlike("^[!-~]+$")).select("name", "bases", "quals")
+
+
+@query
+def fastq_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    path = scratch(spark, "fastq")
+    fastq.write_fastq(_whole_reads(spark, d), path)
+    return fastq.read_fastq(spark, path, splitBytes=100_000).select("name", "bases", F.col("raw_quals").alias("quals"))
+
+
+@query
+def fastq_gzip_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    path = scratch(spark, "fastq-gz")
+    fastq.write_fastq(_whole_reads(spark, d), path, compression="gzip")
+    return fastq.read_fastq(spark, path, compression="extension").select("name", "bases", F.col("raw_quals").alias("quals"))
+
+
+@query
+def fastq_lenient_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Bases and qualities over two lines each."""
+    path = scratch(spark, "fastq-lenient")
+    rows = _whole_reads(spark, d).where(~names.is_casava(F.col("name")))
+    two = lambda c: F.concat(F.substring(c, 1, 20), F.when(F.length(c) > 20, F.concat(F.lit("\n"), F.substring(F.col(c), F.lit(21), F.length(c)))).otherwise(""))
+    rows.select(F.concat(F.lit("@"), "name", F.lit("\n"), two("bases"), F.lit("\n+\n"), two("quals")).alias("value")).write.text(path)
+    return fastq.read_fastq(spark, path, mode="lenient", splitBytes=100_000).select("name", "bases", F.col("raw_quals").alias("quals"))
+
+
+@query
+def sam_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """All columns and tags of SAM records."""
+    path = scratch(spark, "sam")
+    number, text = ("flags", "pos", "pnext", "tlen"), ("qname", "rname", "mapq", "cigar", "rnext", "bases", "quals")
+    rows = table(spark, d, "sam_records").groupBy("record_id").agg(*(F.first(c).alias(c) for c in (*number, *text, "tags"))).where("qname is not null and trim(qname) != '' and not startswith(qname, '@')")
+    filled = {c: F.coalesce(c, F.lit(0)) for c in number} | {c: F.coalesce(c, F.lit("*")) for c in text}
+    entries = F.filter(F.map_entries(F.coalesce("tags", F.expr("cast(map() as map<string,string>)"))), lambda e: e["value"].isNotNull())
+    line = sam_files.sam_line(filled, F.transform(entries, lambda e: F.concat(e["key"], F.lit(":Z:"), e["value"])))
+    sam_files.write_sam(rows.select(line.alias("line")), path, sam_files.header_lines("s", False))
+    back = sam_files.read_sam(spark, path, splitBytes=50_000)
+    tags = F.array_join(F.array_sort(F.transform(F.map_entries("tags"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ";")
+    return back.select(*number, *text, tags.alias("tags"))
+
+
+@query
+def sam_header_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Header lines as text and parsed again."""
+    path = scratch(spark, "sam-header")
+    rows = table(spark, d, "sam_headers").where("record in ('HD', 'SQ', 'RG')")
+    tags = F.transform(F.filter(F.map_entries("tags"), lambda e: e["value"].isNotNull()), lambda e: F.concat(e["key"], F.lit(":"), e["value"]))
+    rows.select(F.concat_ws("\t", F.concat(F.lit("@"), "record"), tags).alias("value")).write.text(path)
+    back = F.array_join(F.array_sort(F.transform(F.map_entries("tags"), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ";")
+    return sam_files.read_sam_header(spark, path).select("record", back.alias("tags"))
+
+
+@query
+def bam_round_trip(spark: SparkSession, d: str) -> DataFrame:
+    """Unaligned records of FASTQ reads."""
+    path = scratch(spark, "bam")
+    rows = convert.fastq_to_sam(_run_reads(spark, d), _RUN, strict=False).where("error is null and length(qname) <= 254")
+    bam.write_bam(rows.where(F.col("quals").rlike("^[!-~]+$") & (F.col("quals") != "*")), path, "sample")
+    return bam.read_bam(spark, path).select("qname", "flags", "bases", "quals", F.try_element_at("tags", F.lit("BC")).alias("barcode"))
+
+
+@query
+def sam_to_fastq_files(spark: SparkSession, d: str) -> DataFrame:
+    """The outputs 0, 1 and 2 of a conversion, read from their files."""
+    path = scratch(spark, "split")
+    fastq.write_fastq_split(convert.sam_to_fastq(_records(spark, d)).where("name is not null and bases != '' and length(bases) = length(quals)"), path)
+    out = spark.createDataFrame([], "segment_index int, name string, bases string, quals string")
+    for i in (0, 1, 2):
+        if files.exists(part := f"{path}/segment_index={i}"):  # outputs without reads aren't made
+            out = out.unionByName(fastq.read_fastq(spark, part).select(F.lit(i).alias("segment_index"), "name", "bases", F.col("raw_quals").alias("quals")))
+    return out

@@ -44,18 +44,23 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def scratch(spark: SparkSession, label: str) -> str:
+    """A new path in the shared folder, which ``clean`` removes."""
+    path = f"{shared_dir(spark)}/readloom-{label}-{uuid.uuid4().hex}"
+    if not _made:
+        atexit.register(clean, spark)
+    _made.append(path)
+    return path
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors.
 
     What is written is removed by ``clean``, at the latest when the driver ends.
     """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/readloom-{label}-{uuid.uuid4().hex}"
-    if not _made:
-        atexit.register(clean, spark)
-    _made.append(path)
+    path = scratch(df.sparkSession, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def clean(spark: SparkSession) -> int:

@@ -47,6 +47,11 @@ def batches(rows: Iterable[tuple], schema: pa.Schema, size: int = 4096) -> Itera
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
 
 
+def exists(path: str) -> bool:
+    system, inner = filesystem(path)
+    return system.get_file_info(inner).type != fs.FileType.NotFound
+
+
 def list_files(paths: list[str]) -> list[str]:
     """Files of paths; a folder stands for its files, by name, without hidden ones."""
     out = []
