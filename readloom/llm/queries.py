@@ -72,6 +72,22 @@ def p6_counts(spark: SparkSession, d: str) -> DataFrame:
     return heavy.frequent(table(spark, d, "seq_reads"))
 
 
+_ALIKE = """
+with recursive s as (select record_id as id, any_value(replace(upper(trim(bases)), 'U', 'T')) as t from sam_records where record_id is not null group by record_id having length(any_value(trim(bases))) >= 16),
+k as (select id, length(t) as n, unnest(range(1, length(t) - 14)) as p, t from s), g as (select id, n, p, substr(t, p, 16) as w from k),
+hit as (select distinct a.id as a, b.id as b, a.n, a.p from g a join g b on a.w = b.w and a.id <> b.id),
+part as (select a, b, n, least(16, coalesce(lead(p) over (partition by a, b order by p) - p, 16)) as covered from hit),
+most as (select a, b from part group by a, b having sum(covered) >= 0.8 * any_value(n) - 1e-9),
+pair as (select x.a, x.b from most x join most y on x.a = y.b and x.b = y.a where x.a < x.b)
+"""
+ORACLE["p1_found"] = _ALIKE + "select a as record_a, b as record_b from pair"
+ORACLE["p1_groups"] = _ALIKE.rstrip() + """,
+edge as (select a, b from pair union all select b, a from pair),
+reach as (select id, id as root from s union select edge.b, reach.root from reach join edge on edge.a = reach.id where reach.root < edge.b),
+rep as (select id, t, min(id) over (partition by t) as rep from s),
+deg as (select x.rep, count(distinct y.rep) as n from edge join rep x on x.id = edge.a join rep y on y.id = edge.b where x.rep <> y.rep group by x.rep)
+select rep.id as record_id, r.root as group_id, coalesce(deg.n, 0) as n_links from rep join (select id, min(root) as root from reach group by id) r using (id) left join deg using (rep)
+"""
 _IDENTIFIERS = r"""
 with m as (select file_id, run_accession, upper(trim(center)) as center, platform from manifest_files),
 i as (select sequenced_at::date::varchar as day, s.file_id::varchar as file_id, run_accession, center, platform, regexp_replace(trim(name, ' ' || chr(9) || chr(13) || chr(10)), '^@', '') as n,
