@@ -17,12 +17,17 @@ tables give an empty result; other columns of the inputs are ignored.
 from __future__ import annotations
 
 import math
+import re
+from collections import Counter
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from readloom.session import stripped
+from readloom.session import materialise, stripped
 
 # Vocabulary of unit words and what each says.
 VOCABULARY = {
@@ -34,6 +39,7 @@ VOCABULARY = {
     "quality": "QUALITY", "qualities": "QUALITY", "qual": "QUALITY", "quals": "QUALITY",
     "score": "QUALITY", "scores": "QUALITY", "q": "QUALITY", "phredscore": "PHRED", "phredscores": "PHRED",
 }
+UNITS = ("LOGODDS_64", "LOGODDS_LIST", "PERCENT", "PHRED_64", "PHRED_LIST", "PROBABILITY")
 #: A spelling matches a term when the weighted distance is at most this share of the longer length.
 MAX_DISTANCE = 0.25
 #: Letters often mistaken for one another cost half an edit.
@@ -99,24 +105,95 @@ def odds_to_phred(score: float) -> int:
     return math.floor(10 * math.log10(10 ** (score / 10) + 1) + 0.5)
 
 
-def _squeeze(column: Column) -> Column:
-    """The letters of a spelling, lower-cased."""
-    return F.regexp_replace(F.lower(column), "[^a-z]", "")
+_SPLIT = re.compile(r"[,;|/\s]+", re.A)
+_LISTED = re.compile(r"[-+0-9.eE%,;|/\s]+", re.A)
+_ITEM = re.compile(_NUMBER, re.A)
+_HEAD = re.compile(_WORDS[1:], re.A)
+_DECIMAL = re.compile(r"\d\.|\.\d|\d[eE][-+]?\d", re.A)
+#: Bytes a list may end with.
+_END = np.isin(np.arange(256), np.frombuffer(b"0123456789.%", np.uint8))
+
+
+def split_list(q: str, n_bases: int | None) -> tuple[str, list[str]] | None:
+    """Words and numbers of a written-out list of scores; nothing for a text of quality characters.
+
+    A text as long as the bases that could be both is text, unless it holds blanks; one number is a list after words, or for one base.
+    """
+    head = _HEAD.match(q)
+    words, body = (head.group(1), q[head.end() :]) if head else ("", q)
+    if not _LISTED.fullmatch(body):
+        return None
+    items = _SPLIT.sub(" ", body).strip(" ").split(" ")
+    if not all(map(_ITEM.fullmatch, items)):
+        return None
+    if not words and not re.search(r"\s", q, re.A) and len(q) == n_bases:
+        return None
+    return (words.lower(), items) if words or len(items) > 1 or n_bases == 1 else None
+
+
+def _totals(items: list[str], of: float) -> tuple[int, int, int, int]:
+    """Sums of a list's values as Phred, taken as Phred scores, as log-odds, and as probabilities in parts of ``of``; how many are above 0."""
+    phred = odds = prob = positive = 0
+    for x, n in Counter(items).items():
+        v = float(x.rstrip("%"))
+        if not math.isfinite(v):
+            continue
+        phred += n * math.floor(v + 0.5)
+        odds += n * math.floor(10 * math.log10(10 ** (min(v, 3000.0) / 10) + 1) + 0.5)
+        if v > 0:
+            prob += n * math.floor(-10 * math.log10(v / of) + 0.5)
+            positive += n
+    return phred, odds, prob, positive
+
+
+_PARSED = "read_id bigint, file_id bigint, is_list boolean, n_values bigint, low boolean, mid boolean, negative boolean, percent boolean, decimal boolean, spelling string, as_64 bigint, as_odds bigint, as_prob bigint, positive bigint"
+
+
+def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows ``(read_id, file_id, n_bases, q)``: what each text holds, under every reading of it."""
+    odds = np.array([max(0, odds_to_phred(c - 64)) for c in range(256)])
+    schema = pa.schema([("read_id", pa.int64()), ("file_id", pa.int64()), ("is_list", pa.bool_()), ("n_values", pa.int64()), *((c, pa.bool_()) for c in ("low", "mid", "negative", "percent", "decimal")), ("spelling", pa.string()), *((c, pa.int64()) for c in ("as_64", "as_odds", "as_prob", "positive"))])
+    for batch in batches:
+        n = batch.num_rows
+        if not n:
+            continue
+        texts = batch.column(3).cast(pa.large_binary())
+        offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + n + 1]
+        data = np.frombuffer(texts.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+        starts, sizes = offsets[:-1] - offsets[0], np.diff(offsets)  # no text is empty
+        lowest = np.minimum.reduceat(data, starts)
+        in_mid = np.logical_or.reduceat((data >= 59) & (data <= 63), starts)
+        as_64, as_odds, as_prob = np.add.reduceat(data.astype(np.int64), starts) - 64 * sizes, np.add.reduceat(odds[data], starts), np.zeros(n, np.int64)
+        positive = np.zeros(n, np.int64)
+        lists, negative, percent, decimal = (np.zeros(n, bool) for _ in range(4))
+        spelling: list[str | None] = [None] * n
+        bases = batch.column(2).to_pylist()
+        sizes = sizes.copy()
+        for i in np.flatnonzero(np.maximum.reduceat(data, starts) > 127).tolist():
+            codes = [ord(c) for c in batch.column(3)[i].as_py()]
+            sizes[i], as_64[i] = len(codes), sum(codes) - 64 * len(codes)
+            as_odds[i] = sum(odds[c] if c < 256 else 0 for c in codes)
+        for i in np.flatnonzero(_END[data[offsets[1:] - offsets[0] - 1]]).tolist():
+            q = batch.column(3)[i].as_py()
+            if found := split_list(q, bases[i]):
+                words, items = found
+                lists[i], sizes[i], percent[i] = True, len(items), "%" in q
+                negative[i], decimal[i] = any(x.startswith("-") for x in items), bool(_DECIMAL.search(q))
+                as_64[i], as_odds[i], as_prob[i], positive[i] = _totals(items, 100.0 if percent[i] else 1.0)
+                spelling[i] = re.sub("[^a-z]", "", words) or None
+        columns = [batch.column(0), batch.column(1), lists, sizes, ~lists & (lowest < 59), ~lists & in_mid, negative, percent, decimal, spelling, as_64, as_odds, as_prob, positive]
+        yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
 
 def parse_quality(reads: DataFrame) -> DataFrame:
-    """Add ``q`` (trimmed text), ``is_list``, ``words`` (unit words), ``items`` (numbers as text)."""
+    """``(read_id, file_id, is_list, n_values, low, mid, negative, percent, decimal, spelling, as_64, as_odds, as_prob, positive)`` of every read with qualities.
+
+    ``as_*``: the sum of the values as Phred, if the text is in Phred at offset 64 or a list of Phred scores, if it is in log-odds, or if it
+    is a list of probabilities (of per cent where it says so, ``positive`` of which are above 0); ``low`` and ``mid``: characters below ``;`` and from there to ``?`` in a text.
+    """
     q = stripped(F.col("raw_quals"))
-    kept = reads.withColumn("q", q).where((F.length("q") > 0) & (F.col("q") != "*"))
-    body = F.regexp_replace("q", _WORDS, "")
-    # whether it can be a list at all is a cheap test, of the last two characters first; only those rows are split
-    maybe = F.right(F.col("q"), F.lit(2)).rlike(r"^[-+0-9.eE%,;|/\s]?[0-9.%]$") & F.col("q").rlike(r"\d%?\s*[,;|/\s]\s*[-+.]?\d|^[A-Za-z][A-Za-z()_%\-]*\s*[:=]?\s+[-+.]?\d|^[-+]?\d+(?:\.\d+)?%?$") & body.rlike(r"^[-+0-9.eE%,;|/\s]+$")
-    items = F.split(F.trim(F.regexp_replace(body, r"[,;|/\s]+", " ")), " ")
-    whole = F.forall(items, lambda x: x.rlike("^" + _NUMBER + "$"))
-    has_words = F.regexp_extract("q", _WORDS, 1)
-    # a text of the length of the bases that could be both is text, unless it holds blanks
-    listed = maybe & whole & (has_words.rlike(r"\S") | F.col("q").rlike(r"\s") | ~F.length("q").eqNullSafe(F.length(stripped(F.col("bases")))) ) & ((F.size(items) > 1) | has_words.rlike(r"\S") | (F.length(stripped(F.col("bases"))) == 1))
-    return kept.withColumn("is_list", F.coalesce(listed, F.lit(False))).withColumn("words", F.when(F.col("is_list"), F.lower(has_words))).withColumn("items", F.when(F.col("is_list"), items))
+    kept = reads.select(F.col("read_id").cast("bigint"), F.col("file_id").cast("bigint"), F.length(stripped(F.col("bases"))).alias("n_bases"), q.alias("q"))
+    return kept.where((F.length("q") > 0) & (F.col("q") != "*")).mapInArrow(_parse, _PARSED)
 
 
 def manifest_facts(manifest: DataFrame) -> DataFrame:
@@ -146,13 +223,9 @@ def to_phred(reads: DataFrame, manifest: DataFrame) -> DataFrame:
     ``phred_total`` is null where the values can't be read (a probability of 0 has no Phred value
     and counts as nothing).
     """
-    parsed = parse_quality(reads.select("read_id", "file_id", "bases", "raw_quals"))
-    text = ~F.col("is_list")
-    seen = parsed.groupBy("file_id").agg(
-        F.max(text & F.col("q").rlike("[\\x00-:]")).alias("low"),
-        F.max(text & F.col("q").rlike("[;-?]")).alias("mid"),
-        F.max(F.col("is_list") & F.exists("items", lambda x: x.startswith("-"))).alias("negative"),
-    )
+    # read once; a few numbers a read are written
+    parsed = materialise(parse_quality(reads.select("read_id", "file_id", "bases", "raw_quals")), "p3-parsed")
+    seen = parsed.groupBy("file_id").agg(F.max("low").alias("low"), F.max("mid").alias("mid"), F.max("negative").alias("negative"))
     facts = seen.join(manifest_facts(manifest), "file_id", "left")
     detected = F.when(F.col("low"), "33").when(F.col("mid"), "ODDS").otherwise("64")
     told = lambda p: (
@@ -168,34 +241,27 @@ def to_phred(reads: DataFrame, manifest: DataFrame) -> DataFrame:
     )
     rows = parsed.join(files, F.col("file_id").eqNullSafe(F.col("f")), "left").drop("f").where(F.col("is_list") | (F.col("encoding") != "33"))
     # the alias dictionary of the lists' own words; rows without words spread over salts that match nothing
-    spelling = _squeeze(F.col("words"))
-    aliases = alias_dictionary(parsed.where(F.col("words") != "").select(spelling)).select("spelling", "concept")
-    key = F.when(F.length(spelling) > 0, spelling).otherwise(F.concat(F.lit("#"), F.pmod("read_id", F.lit(997)).cast("string")))
+    aliases = alias_dictionary(parsed.where("spelling is not null").select("spelling")).select("spelling", "concept")
+    key = F.coalesce("spelling", F.concat(F.lit("#"), F.pmod("read_id", F.lit(997)).cast("string")))
     rows = rows.withColumn("spelling", key).join(aliases, "spelling", "left")
-    percent = F.col("is_list") & ((F.col("concept") == "PERCENT") | F.col("q").contains("%"))
+    percent = F.col("is_list") & ((F.col("concept") == "PERCENT") | F.col("percent"))
     scored = F.coalesce(F.col("concept").isin("PHRED", "PHRED33", "LOGODDS"), F.lit(False))
-    prob = F.col("is_list") & ((F.col("concept") == "PROB") | (~scored & F.col("q").rlike(r"\d\.|\.\d|\d[eE][-+]?\d")))
+    prob = F.col("is_list") & ((F.col("concept") == "PROB") | (~scored & F.col("decimal")))
     unit = F.when(F.coalesce(percent, F.lit(False)), "PERCENT").when(F.coalesce(prob, F.lit(False)), "PROBABILITY").when(F.col("is_list"), F.concat("scale", F.lit("_LIST"))).when(F.col("encoding") == "ODDS", "LOGODDS_64").otherwise("PHRED_64")
     rows = rows.withColumn("unit", unit)
-    codes = [chr(c) for c in range(33, 127)]
-    table = str.maketrans({c: chr(33 + max(0, odds_to_phred(ord(c) - 64))) for c in codes})
-    plain = F.when(F.col("unit") == "LOGODDS_64", F.translate("q", "".join(codes), "".join(codes).translate(table))).otherwise(F.col("q"))
-    base = F.when(F.col("unit") == "LOGODDS_64", 33).otherwise(64)
-    text_total = F.aggregate(F.split(plain, ""), F.lit(0).cast("bigint"), lambda a, c: a + F.ascii(c)) - base * F.length("q")
+    # per cent that only words tell: each value is worth 20 more
+    from_percent = F.col("as_prob") + F.when(F.col("percent"), 0).otherwise(20 * F.col("positive"))
+    total = F.when(F.col("unit") == "PERCENT", from_percent).when(F.col("unit") == "PROBABILITY", F.col("as_prob")).when(F.col("unit").startswith("LOGODDS"), F.col("as_odds")).otherwise(F.col("as_64"))
+    return rows.select("read_id", "file_id", "unit", total.alias("phred_total"), "n_values")
 
-    def item(x: Column) -> Column:
-        v = F.replace(x, F.lit("%"), F.lit("")).try_cast("double")
-        p = F.when(F.col("unit") == "PERCENT", v / 100).otherwise(v)
-        from_p = F.when(p > 0, F.floor(-10 * F.log10(p) + 0.5))
-        from_odds = F.floor(10 * F.log10(F.pow(F.lit(10.0), v / 10) + 1) + 0.5)
-        return F.coalesce(F.when(F.col("unit").isin("PERCENT", "PROBABILITY"), from_p).when(F.col("unit") == "LOGODDS_LIST", from_odds).otherwise(F.floor(v + 0.5)), F.lit(0)).cast("bigint")
 
-    list_total = F.aggregate(F.col("items"), F.lit(0).cast("bigint"), lambda a, x: a + item(x))
-    total = F.when(F.col("is_list"), list_total).otherwise(text_total)
-    n = F.when(F.col("is_list"), F.size("items")).otherwise(F.length("q"))
-    return rows.select("read_id", "file_id", "unit", total.alias("phred_total"), n.cast("bigint").alias("n_values"))
+def once(rows: DataFrame) -> DataFrame:
+    """A row for each read; of deliveries that differ the least counts."""
+    code = F.create_map(*(F.lit(x) for k, u in enumerate(UNITS) for x in (u, k)))
+    packed = rows.select("read_id", F.element_at(code, F.col("unit")).alias("u"), "phred_total", "n_values")
+    return packed.groupBy("read_id").agg(F.min(F.struct("u", "phred_total", "n_values")).alias("r")).select("read_id", F.element_at(F.array(*map(F.lit, UNITS)), F.col("r.u") + 1).alias("unit"), "r.phred_total", "r.n_values")
 
 
 def p3_found(reads: DataFrame, manifest: DataFrame) -> DataFrame:
     """``(read_id, phred_total)`` of each read whose qualities aren't offset-33 text; repeats count once."""
-    return to_phred(reads, manifest).groupBy("read_id").agg(F.first("phred_total").alias("phred_total"))
+    return to_phred(reads, manifest).groupBy("read_id").agg(F.min("phred_total").alias("phred_total"))

@@ -32,8 +32,7 @@ def p3_found(spark: SparkSession, d: str) -> DataFrame:
 def p3_units(spark: SparkSession, d: str) -> DataFrame:
     """How many reads and values each unit holds, with their mean Phred value."""
     rows = units.to_phred(table(spark, d, "seq_reads"), table(spark, d, "manifest_files"))
-    once = rows.groupBy("read_id").agg(*(F.first(c).alias(c) for c in ("unit", "phred_total", "n_values")))
-    return once.groupBy("unit").agg(F.count("*").alias("n_reads"), F.sum("n_values").alias("n_values"), F.sum("phred_total").alias("phred_total"))
+    return units.once(rows).groupBy("unit").agg(F.count("*").alias("n_reads"), F.sum("n_values").alias("n_values"), F.sum("phred_total").alias("phred_total"))
 
 
 @query

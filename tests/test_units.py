@@ -25,7 +25,7 @@ CASES = [
     (4, "ACG", "!hh", None), (4, "A", "h", None),  # Standard by its lowest character
     (5, "ACG", ";hh", odds(-5) + 2 * odds(40)), (5, "A", "*", None), (6, "ACG", "@hh", 80), (7, "AC", "hh", None), (8, "AC", "hh", 2 * odds(40)),
     (9, "AC", "40 -5", odds(40) + odds(-5)), (10, "AC", "phred: 37,38", 75), (11, "AC", "3\t-5", odds(3) + odds(-5)), (11, "AC", "20;21", odds(20) + odds(21)), (12, "AC", "20;21", 41), (12, "A", "Q 7", 7),
-    (1, "AC", "p 0.01;0.001", 50), (1, "AC", "0.01995% 0.1%", prob(0.0001995) + 30), (1, "AC", "err: 1.995e-04;1e-3", prob(1.995e-4) + 30), (1, "AC", "P(error) 0.5 0", 3), (13, "AC", "hh", 2 * odds(40)),
+    (1, "AC", "p 0.01;0.001", 50), (1, "AC", "0.01995% 0.1%", prob(0.0001995) + 30), (1, "AC", "err: 1.995e-04;1e-3", prob(1.995e-4) + 30), (1, "AC", "P(error) 0.5 0", 3), (13, "AC", "hh", 2 * odds(40)), (1, "AC", "pct 10 0 1", 30), (1, "AC", "1e-1% 1.995e-04", prob(1e-3) + prob(1.995e-6)), (2, "AC", "h\u00e9", 40 + 0xE9 - 64), (4, "AC", "20,", None),
     (1, "AC", None, None), (1, "AC", "  ", None), (1, None, "IIII", None), (99, "AC", "hh", 80), (1, "A" * 30000, "I" * 30000, None), (2, "A" * 30000, "h" * 30000, 1_200_000), (1, "ACGTA", "37,37", 74), (1, "ACGTA", "9,9;9", None),
 ]
 
