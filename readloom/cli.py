@@ -24,8 +24,16 @@ def _normalised(spark: SparkSession, paths: list[str], lenient: bool = True) ->
     return normalise.normalised_reads(reads, (found and found.encoding) or "Standard")
 
 
-def run_validate(spark: SparkSession, rows: list[dict], base: str | None = None, quick: bool = False) -> DataFrame:
-    """Validate files given as manifest rows ``{file, file_type, quality_score}`` of one submission."""
+def run_validate(spark: SparkSession, rows: list[dict], base: str | None = None, quick: bool = False, whole: bool = False, staged: bool = False) -> DataFrame:
+    """Validate files given as manifest rows ``{file, file_type, quality_score}`` of one submission.
+
+    ``quick`` looks at the first reads of each file only, ``whole`` at all of them without a limit; ``staged`` does so only if the first reads of all files are good.
+    """
+    if staged and not quick:
+        first = run_validate(spark, rows, base, quick=True)
+        if first.where("error is not null").limit(1).count():
+            return first
+    limits = None if whole and not quick else (validate.QUICK_LIMIT, validate.EXTENDED_LIMIT)
     if not rows:
         raise ValueError("No file provided.")
     m = spark.createDataFrame([(i, "run", r["file"], r.get("file_type", "fastq"), r.get("quality_score")) for i, r in enumerate(rows, 1)], "file_id bigint, run_accession string, file string, file_type string, quality_score string")
@@ -37,8 +45,8 @@ def run_validate(spark: SparkSession, rows: list[dict], base: str | None = None,
         records = sam.read_reads(spark, listed, kind)
         index = spark.createDataFrame([(p, i) for i, given in enumerate(listed, 1) for p in files.list_files([given])], "file string, file_id bigint")
         reads = records.join(F.broadcast(index), "file").select("file_id", F.col("record_no").alias("read_no"), F.col("qname").alias("name"), "bases", "quals")  # a row per file
-        return validate.validate(reads, m.withColumn("quick", F.lit(quick)), is_sam=True)
-    return validate.validate(reads, m.withColumn("quick", F.lit(quick)))
+        return validate.validate(reads, m.withColumn("quick", F.lit(quick)), limits=limits, is_sam=True)
+    return validate.validate(reads, m.withColumn("quick", F.lit(quick)), limits=limits)
 
 
 def run_normalise(spark: SparkSession, inputs: list[str], out: str, prefix: str | None = None) -> dict:
@@ -64,7 +72,7 @@ def run_fastq2sam(spark: SparkSession, inputs: list[str], out: str, sample: str,
         raise ValueError("one or two different files are needed")
     rows = convert.fastq_to_sam(_normalised(spark, inputs), paired=len(inputs) == 2)
     if as_bam:
-        write_bam(rows, out, sample)
+        write_bam(rows, out, sample, sorted_by_name=len(inputs) == 2)
     else:
         sam.write_sam(rows.orderBy("qname", "flags") if len(inputs) == 2 else rows, out, sam.header_lines(sample, len(inputs) == 2))
 
@@ -87,6 +95,8 @@ def main(argv: list[str] | None = None) -> int:
     c.add_argument("files", nargs="+")
     c.add_argument("--format", default="fastq")
     c.add_argument("--quick", action="store_true")
+    c.add_argument("--whole", action="store_true")
+    c.add_argument("--staged", action="store_true")
     c = sub.add_parser("normalise")
     c.add_argument("files", nargs="+")
     c.add_argument("--out", required=True)
@@ -125,7 +135,7 @@ def main(argv: list[str] | None = None) -> int:
     spark = SparkSession.builder.appName("readloom").getOrCreate()
     try:
         if a.command == "validate":
-            out = run_validate(spark, [{"file": f, "file_type": a.format} for f in a.files], quick=a.quick)
+            out = run_validate(spark, [{"file": f, "file_type": a.format} for f in a.files], quick=a.quick, whole=a.whole, staged=a.staged)
             out.show(1000, False)
             return int(out.where("error is not null").limit(1).count() > 0)
         if a.command == "normalise":

@@ -11,6 +11,7 @@ from typing import BinaryIO
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
 
@@ -155,21 +156,22 @@ class _Reader(DataSourceReader):
 
 
 class _Writer(DataSourceWriter):
-    def __init__(self, path: str, sample: str, names: list[str]):
-        self.path, self.sample, self.names = path, sample, names
+    def __init__(self, path: str, sample: str, names: list[str], sorted_by_name: bool):
+        self.path, self.sample, self.names, self.sorted_by_name = path, sample, names, sorted_by_name
 
     def write(self, rows):
-        target = f"{self.path}/part-{uuid.uuid4().hex}.bam"
+        # parts in the order of their partitions
+        target = f"{self.path}/part-{TaskContext.get().partitionId():05d}-{uuid.uuid4().hex}.bam"
         system, inner = files.filesystem(self.path)
         system.create_dir(inner, recursive=True)
-        n = write_file(target, (dict(zip(self.names, r)) for r in rows), self.sample)
+        n = write_file(target, (dict(zip(self.names, r)) for r in rows), self.sample, self.sorted_by_name)
         if not n:
             system.delete_file(files.filesystem(target)[1])
         return WriterCommitMessage()
 
 
 class BamDataSource(DataSource):
-    """``format("bam")``: reads files whole, one task each; writes one BAM per partition (option sample)."""
+    """``format("bam")``: reads files whole, one task each; writes one BAM per partition (options sample and sorted)."""
 
     @classmethod
     def name(cls):
@@ -182,7 +184,7 @@ class BamDataSource(DataSource):
         return _Reader(self.options["path"])
 
     def writer(self, schema, overwrite):
-        return _Writer(self.options["path"], self.options["sample"], schema.fieldNames())
+        return _Writer(self.options["path"], self.options["sample"], schema.fieldNames(), self.options.get("sorted") == "true")
 
 
 def read_bam(spark: SparkSession, paths: str | list[str], **options) -> DataFrame:
@@ -190,11 +192,13 @@ def read_bam(spark: SparkSession, paths: str | list[str], **options) -> DataFram
     return spark.read.format("bam").load(files.packed(paths))
 
 
-def write_bam(records: DataFrame, path: str, sample: str) -> None:
-    """Write ``qname, flags, bases, quals, barcode`` as unaligned BAM parts in a new folder."""
+def write_bam(records: DataFrame, path: str, sample: str, sorted_by_name: bool = False) -> None:
+    """Write ``qname, flags, bases, quals, barcode`` as unaligned BAM parts in a new folder; ``sorted_by_name``: sorted, over all parts, and marked so."""
     if not sample or not sample.strip():
         raise ValueError("the sample has no name")
     records.sparkSession.dataSource.register(BamDataSource)
-    records.select("qname", "flags", "bases", "quals", "barcode").write.format("bam").option("sample", sample).mode("append").save(path)
+    rows = records.select("qname", "flags", "bases", "quals", "barcode")
+    rows = rows.orderBy("qname", "flags") if sorted_by_name else rows
+    rows.write.format("bam").option("sample", sample).option("sorted", str(sorted_by_name).lower()).mode("append").save(path)
 
 

@@ -220,3 +220,27 @@ def test_alignment_files_without_records_are_no_good(spark, tmp_path):
     check = lambda *n: {r.file_id: r.error for r in cli.run_validate(spark, [{"file": str(tmp_path / x), "file_type": x[-3:]} for x in n]).collect()}
     nothing = "Submitted files must contain a minimum of 1 sequence read"
     assert check("empty.sam") == {1: nothing} == check("empty.bam") and check("good.sam", "empty.sam") == {1: None, 2: nothing}
+
+
+def test_bam_of_pairs_is_sorted_by_name(spark, tmp_path):
+    for i in (1, 2):
+        (tmp_path / f"p_{i}.fastq").write_text("".join(f"@r{k % 7}{k}/{i}\nAC\n+\nII\n" for k in range(60)))
+    cli.run_fastq2sam(spark, [str(tmp_path / "p_1.fastq"), str(tmp_path / "p_2.fastq")], str(tmp_path / "sorted"), "s", as_bam=True)
+    parts = files.list_files([str(tmp_path / "sorted")])
+    assert all(b"SO:queryname" in gzip.decompress(open(p, "rb").read()) for p in parts)
+    names = [r.qname for p in parts for r in bam.read_bam(spark, p).orderBy("record_no").collect()]
+    assert len(names) == 120 and names == sorted(names)
+
+
+def test_staged_validation_ends_with_the_first_reads(spark, tmp_path, monkeypatch):
+    from readloom.operators import validate
+
+    monkeypatch.setattr(validate, "QUICK_LIMIT", 2)
+    monkeypatch.setattr(validate, "EXTENDED_LIMIT", 3)
+    p = tmp_path / "v.fastq"
+    run = lambda **x: cli.run_validate(spark, [{"file": str(p)}], **x).first()
+    p.write_text("@a\nAC\n+\nII\n@b\nA!\n+\nII\n@c\nAC\n+\nII\n@d\n\n+\n\n")
+    assert run(staged=True).n_reads == 2 and run(staged=True).error
+    p.write_text("@a\nAC\n+\nII\n@b\nAC\n+\nII\n@c\nAC\n+\nII\n@d\n\n+\n\n")
+    assert (run(staged=True).n_reads, run(staged=True).error) == (3, None) and run(quick=True).n_reads == 2
+    assert run(staged=True, whole=True).error == validate.EMPTY_READ
